@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import best_fit_packing, secret_scans, sharding, url_filters, warc_revisits
+from corpusflow.llm import best_fit_packing, ngram_jaccard, secret_scans, sharding, text_sql, url_filters, warc_revisits
 from corpusflow.llm._common import fresh_path, table
 from pyspark.sql import functions as F
 
@@ -27,6 +27,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc_revisits.resolve(warc_revisits.captures_of_pages(table(spark, sf_dir, "pages")))
     lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
@@ -38,7 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_secret_scans, op4_url_filters, op5_best_fit_packing, op8_warc_revisits, op10_sharding]
+    found = [op3_secret_scans, op4_url_filters, op5_best_fit_packing, op7_jaccard_join, op8_warc_revisits, op10_sharding]
     return {f.__name__: f for f in found}
 
 
@@ -113,4 +117,4 @@ def _shard_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scans": _secret_sql(), "op4_url_filters": _url_sql(), "op8_warc_revisits": _warc_sql(), "op10_sharding": _shard_sql()}
+    return {"op3_secret_scans": _secret_sql(), "op4_url_filters": _url_sql(), "op7_jaccard_join": text_sql.jaccard_pairs(ngram_jaccard.N, ngram_jaccard.THRESHOLD), "op8_warc_revisits": _warc_sql(), "op10_sharding": _shard_sql()}

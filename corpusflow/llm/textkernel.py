@@ -49,9 +49,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _ipow
     if len(_pow) < n:
         size = max(n, BLOCK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            _pow = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            _ipow = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE_INV, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        tables = []
+        for base in (_BASE, _BASE_INV):
+            factors = np.full(size, base, dtype=np.uint64)
+            factors[0] = 1
+            tables.append(np.cumprod(factors, dtype=np.uint64))
+        _pow, _ipow = tables
     return _pow, _ipow
 
 
