@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import best_fit_packing, ngram_jaccard, secret_scans, sharding, text_sql, url_filters, warc_revisits
+from corpusflow.llm import best_fit_packing, decontamination, language_id, ngram_jaccard, pii, quality_rules, secret_scans, sharding, text_sql, url_filters, warc_revisits
 from corpusflow.llm._common import fresh_path, table
 from pyspark.sql import functions as F
 
 N_SHARDS = 16
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first scan of the whole corpus: the ledger is new."""
     return secret_scans.scan(table(spark, sf_dir, "documents"), ledger=fresh_path(spark, "ledger"))
@@ -27,6 +35,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -37,12 +49,19 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("headers", F.array_join(lines, "\n"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), "doc_id", sharding.equal_shards(N_SHARDS), sharding.equal_shards(N_SHARDS + 1))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_secret_scans, op4_url_filters, op5_best_fit_packing, op7_jaccard_join, op8_warc_revisits, op10_sharding]
+    found = [
+        op1_language_id, op2_quality_rules, op3_secret_scans, op4_url_filters, op5_best_fit_packing,
+        op6_decontamination, op7_jaccard_join, op8_warc_revisits, op9_pii, op10_sharding,
+    ]
     return {f.__name__: f for f in found}
 
 
