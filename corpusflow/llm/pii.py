@@ -48,9 +48,12 @@ _SPELLED = re.compile(rf"(?i)\b(?:plus[ ]+)?{_DW}(?:[ \-.,]{{1,3}}(?:{_DW}|oh|[0
 _PART = re.compile(r"(?i)plus[ ]+|[a-z]+|[0-9]+|[ \-.,]+")
 _ATDOT = re.compile(
     r"(?i)(?P<at>[ ]*[\[({<][ ]*at[ ]*[\])}>][ ]*)|(?P<dot>[ ]*[\[({<][ ]*dot[ ]*[\])}>][ ]*)"
-    r"|(?P<plain>(?<![^\s,;:<(])[a-z0-9][a-z0-9._%+-]*(?:[ ]+dot[ ]+[a-z0-9]+)*[ ]+at[ ]+[a-z0-9-]+(?:(?:[ ]+dot[ ]+|\.)[a-z0-9-]+)*[ ]+dot[ ]+[a-z]{2,}\b)"
+)
+_PLAIN_ATDOT = re.compile(
+    r"(?i)(?P<plain>(?<![^\s,;:<(])[a-z0-9][a-z0-9._%+-]*(?:[ ]+dot[ ]+[a-z0-9]+)*[ ]+at[ ]+(?!(?:the|an?|this|that|my|our|your)\b)[a-z0-9-]+(?:(?:[ ]+dot[ ]+|\.)[a-z0-9-]+)*[ ]+dot[ ]+[a-z]{2,}\b)"
 )
 _PLAIN = re.compile(r"(?i)[ ]+(at|dot)[ ]+")
+_DOT_WORD = re.compile(r"(?i) dot ")
 
 #: necessary for a detection: an at sign, a digit of any script, a run of spelled digits or an at in disguise (any look-alike or invisible character may hide one)
 TRACE = (
@@ -117,27 +120,31 @@ class Mapped:
 
 
 def _digits_of(piece: str, start: int) -> list[tuple[int, int, str]]:
-    """Spelled digits one by one, so each digit maps to its own word; separators between them go."""
+    """Spelled digits one by one, so each digit maps to its own word.  Separators go, but where they differ within the run, dots stay and commas and hyphens become hyphens."""
+    found = [(m.start() + start, m.end() + start, m.group().lower()) for m in _PART.finditer(piece)]
+    marks = {x.strip() for _, _, x in found if not x[0].isalnum()}
     out = []
-    for m in _PART.finditer(piece):
-        x = m.group().lower()
-        new = "+" if x.startswith("plus") and x.strip() == "plus" else _DIGIT.get(x, x if x.isdigit() else "")
-        out.append((start + m.start(), start + m.end(), new))
+    for s, e, x in found:
+        if x[0].isalnum():
+            new = "+" if x.startswith("plus") else _DIGIT.get(x, x)
+        else:
+            new = "" if len(marks) == 1 or not x.strip() else "." if x.strip() == "." else "-"
+        out.append((s, e, new))
     return out
 
 
 def normalise(text: str) -> Mapped:
     m = Mapped(text)
-    m.text = text.translate(TABLE)  # one for one
-    m = m.rewrite([(x.start(), x.end(), "") for x in _ERASE.finditer(m.text)])
+    if not text.isascii():
+        m.text = text.translate(TABLE)  # one for one
+        m = m.rewrite([(x.start(), x.end(), "") for x in _ERASE.finditer(m.text)])
     m = m.rewrite([p for x in _SPELLED.finditer(m.text) for p in _digits_of(x.group(), x.start())])
-    pieces: list[tuple[int, int, str]] = []
-    for x in _ATDOT.finditer(m.text):
-        if x.lastgroup == "plain":
-            pieces += [(x.start() + y.start(), x.start() + y.end(), "@" if y.group(1).lower() == "at" else ".") for y in _PLAIN.finditer(x.group())]
-        else:
-            pieces.append((x.start(), x.end(), "@" if x.lastgroup == "at" else "."))
-    return m.rewrite(pieces)
+    m = m.rewrite([(x.start(), x.end(), "@" if x.lastgroup == "at" else ".") for x in _ATDOT.finditer(m.text)])
+    if not _DOT_WORD.search(m.text):
+        return m
+    return m.rewrite(
+        [(x.start() + y.start(), x.start() + y.end(), "@" if y.group(1).lower() == "at" else ".") for x in _PLAIN_ATDOT.finditer(m.text) for y in _PLAIN.finditer(x.group())]
+    )
 
 
 def luhn(digits: str) -> bool:
@@ -165,7 +172,7 @@ def _phone(s: str) -> bool:
 
 DETECTORS = (
     ("email", re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]{0,63}@(?:[a-z0-9-]{1,63}\.)+[a-z]{2,24}(?![a-z0-9-])"), None),
-    ("card", re.compile(r"(?<![0-9.])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), _card),
+    ("card", re.compile(r"(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"), _card),
     ("ipv4", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"), None),
     ("ssn", re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"), None),
     ("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-9])"), _iban),
@@ -179,6 +186,8 @@ def findings(text: str) -> list[tuple[str, int, int, str, str]]:
     taken: list[tuple[int, int]] = []
     out = []
     for kind, pattern, valid in DETECTORS:
+        if kind == "email" and "@" not in m.text:
+            continue
         for x in pattern.finditer(m.text):
             s, e = x.span()
             if (valid is None or valid(x.group())) and not any(s < b and a < e for a, b in taken):
