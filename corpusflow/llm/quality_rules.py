@@ -190,14 +190,39 @@ def calibrate(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS)
     return int(np.flatnonzero(value == value.max())[-1]) / BINS
 
 
+def _scored(docs: DataFrame, forest: Forest | None) -> DataFrame:
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    return source.mapInArrow(lambda it: _stat_rows(it, forest or _blank_forest()), _FIELDS + ", score double")
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, the statistics, score, threshold and keep, a row for each document."""
-    forest = fit(docs, labels)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    scored = stored(source.mapInArrow(lambda it: _stat_rows(it, forest or _blank_forest()), _FIELDS + ", score double"), "quality")
+    scored = stored(_scored(docs, fit(docs, labels)), "quality")
     threshold = calibrate(scored, labels)
     return scored.withColumn("threshold", F.lit(threshold)).withColumn("keep", (F.col("n_words") > 0) & (F.col("score") < F.col("threshold")))
 
 
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are kept, with all their columns.
+
+    The forest is fitted and the threshold calibrated as in ``score``; the verdict is
+    then computed in the scan that copies the documents, so no text is shuffled.
+    """
+    forest = fit(docs, labels)
+    threshold = calibrate(stored(_scored(docs, forest).select("doc_id", "n_words", "score"), "quality"), labels)
+    rows = forest or _blank_forest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offsets = tk.string_buffer(b.column("text"))
+            keep = np.zeros(b.num_rows, dtype=bool)
+            for i, j in tk.blocks(offsets):
+                n_words, stats = statistics(raw, offsets, i, j)
+                keep[i:j] = (n_words > 0) & (rows.score(stats) < threshold)
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _blank_forest() -> Forest:
     return Forest(np.array([-1]), np.array([0.0]), np.array([0]), np.array([1.0]), np.array([0]), 1.0)
