@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+
 _RANGES = (
     "9-D 20-2F 3A-40 5B-60 7B-7E 81-85 91-93 95-99 9C-9D A1-AB AD-B4 B7-BF D7 F7-F8 131 26A 2BA-2BC 2C8 2CC 2D0 2D8 2DA 2DC 3C0 413 60C 647 66A 66C 6E9 93E 940 947 94D "
     "97D 9BE E51 2002-2003 2005 2008-200B 2010-2011 2013-2016 2018-201A 201C-2020 2022 2024 2026 202F-2030 2032-2033 2039-203A 203C 203F 2043-2044 2049 20A8 20AA 20AC "
@@ -25,3 +29,13 @@ def special_class() -> str:
         lo, _, hi = part.partition("-")
         out.append(f"\\x{{{lo}}}-\\x{{{hi}}}" if hi else f"\\x{{{lo}}}")
     return "".join(out)
+
+
+@lru_cache
+def special_table() -> np.ndarray:
+    """Whether a code point is special, for all of them."""
+    out = np.zeros(0x110000, dtype=bool)
+    for part in _RANGES.split():
+        lo, _, hi = part.partition("-")
+        out[int(lo, 16) : int(hi or lo, 16) + 1] = True
+    return out

@@ -10,6 +10,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: what str.split() without arguments splits at
 WHITESPACE = "[\\t-\\r\\x1c-\\x20\\x85\\p{Z}]+"
@@ -19,7 +20,7 @@ def pattern_count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -29,7 +30,7 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike("[^\\x00-\\x7F]"), _nfkc(text)).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _json_quoted(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else json.dumps(x, ensure_ascii=False))
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import json_quoted_native, merged
+from corpusflow.functions.text import json_quoted_native
 from corpusflow.plans.stage import Change, GlobalStage, Stage, State
 from corpusflow.schema import EXTRAS
 from corpusflow.sources.storage import exists, written
@@ -114,8 +114,7 @@ class GenerateDedupLSH(Stage):
         def run(texts: pd.Series) -> pd.Series:
             return texts.map(lambda x: None if x is None else json.dumps(keys(x)))
 
-        found = run(s.text)
-        return Change(extras=merged(s.extras, F.create_map(F.lit(KEY), found).cast(EXTRAS)))
+        return Change(new_extras=F.create_map(F.lit(KEY), run(s.text)).cast(EXTRAS))
 
 
 def exploded(docs: DataFrame) -> DataFrame:

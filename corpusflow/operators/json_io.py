@@ -8,9 +8,9 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import json_map, json_object, json_quoted, merged
+from corpusflow.functions.text import json_map, json_object, json_quoted
 from corpusflow.plans.stage import Change, Stage, State
-from corpusflow.schema import EXTRAS, empty_map
+from corpusflow.schema import EXTRAS
 
 
 def parse(line: str, key: str, extra_keys: list[str] | None) -> tuple[str, dict[str, str], str | None]:
@@ -59,12 +59,12 @@ class JSONLoader(Stage):
             return pd.DataFrame(rows, columns=["text", "extras", "error"])
 
         out = load(s.text)
-        return self._change(out["text"], merged(s.extras, F.coalesce(out["extras"], empty_map())), out["error"])
+        return self._change(out["text"], out["extras"], out["error"])
 
     def _change(self, text, extras, error) -> Change:
         if self.ignore:
-            return Change(text=text, extras=extras, reject=error.isNotNull())
-        return Change(text=text, extras=extras, error=error)
+            return Change(text=text, new_extras=extras, reject=error.isNotNull())
+        return Change(text=text, new_extras=extras, error=error)
 
 
 class JSONDumper(Stage):

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusflow.functions.symbols import special_class
+from corpusflow.functions.symbols import special_table
 from corpusflow.functions.taggers import Tagger, pieces
 from corpusflow.functions.text import escaped, json_quoted_native, pattern_count, trie_pattern
 from corpusflow.plans.stage import Change, Stage, State
@@ -201,9 +201,7 @@ class DiscardTooManySpecialToken(Stage):
         self.threshold = threshold
 
     def plan(self, s: State) -> Change:
-        rest = F.length(F.regexp_replace(s.text, f"[{special_class()}]+", ""))
-        n = F.length(s.text)
-        return Change(reject=F.when(n == 0, F.lit(0.0) > self.threshold).otherwise((n - rest) / n > self.threshold))
+        return Change(reject=_ratio(special_share)(s.text) > self.threshold)
 
 
 class SingleCharacterRepetitionFilter(Stage):
@@ -243,13 +241,30 @@ class DiscardTooShortLines(Stage):
         return Change(reject=F.size(F.filter(lines, lambda x: F.length(x) <= 10)) / F.size(lines) > self.threshold)
 
 
+def special_share(text: str) -> float:
+    return float(special_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].mean()) if text else 0.0
+
+
+def gram_counts(codes: np.ndarray, n: int) -> np.ndarray:
+    """How often each n-gram of the codes occurs.  Symbols are numbered densely, and grams again when their number would overflow."""
+    number = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    base = int(number.max()) + 1
+    grams, size = number[: len(number) - n + 1], base
+    for k in range(1, n):
+        if size > (1 << 62) // base:
+            grams = np.unique(grams, return_inverse=True)[1].astype(np.int64)
+            size = int(grams.max()) + 1
+        grams = grams * base + number[k : len(number) - n + 1 + k]
+        size *= base
+    return np.unique(grams, return_counts=True)[1]
+
+
 def char_repetition(text: str, n: int) -> float:
     """Share that the commonest n-grams have; how many count as such depends on how many repeat."""
     if len(text) < n or n <= 0:
         return 0.0
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    grams = np.lib.stride_tricks.sliding_window_view(codes, n)
-    counts = np.unique(np.ascontiguousarray(grams).view(np.dtype((np.void, 4 * n))).ravel(), return_counts=True)[1]
+    counts = gram_counts(codes, n)
     top = min(int(np.sqrt(len(counts))), len(counts) - int((counts == 1).sum()))
     return float(np.sort(counts)[::-1][:top].sum() / counts.sum())
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.document import Document, Token
-from corpusflow.functions.text import json_quoted_native
+from corpusflow.functions.text import json_quoted_native, merged
 from corpusflow.plans.stage import Change, GlobalStage, Stage, State
 from corpusflow.plans.stats import COUNTERS, Statistics
 from corpusflow.schema import EXTRAS, as_documents, empty_map
@@ -100,6 +100,8 @@ class Pipeline(Stage):
             fresh["_reject"] = F.coalesce(change.reject, F.lit(False))
         if change.extras is not None:
             fresh["_extras"] = change.extras
+        if change.new_extras is not None:
+            fresh["_new_extras"] = F.coalesce(change.new_extras, empty_map())
         if change.tokens is not None:
             fresh["_tokens"] = change.tokens
         if failed is not None:
@@ -122,24 +124,20 @@ class Pipeline(Stage):
             new["reject_reason"] = F.when(turned & bad, F.create_map(F.lit("error"), json_quoted_native(F.coalesce(F.col("_error") if failed is not None else F.lit(""), F.lit(""))))).when(turned, _reason(stage, change)).otherwise(F.col("reject_reason"))
         if change.extras is not None:
             new["extras"] = F.when(go & ~bad, F.col("_extras")).otherwise(F.col("extras"))
+        if change.new_extras is not None:
+            new["extras"] = F.when(go & ~bad, merged(F.col("extras"), F.col("_new_extras"))).otherwise(F.col("extras"))
         if change.tokens is not None:
             new["tokens"] = F.when(go & ~bad, F.col("_tokens")).otherwise(F.col("tokens"))
         if metrics:
             new[f"{_META}{k}"] = F.struct(_info(F.col("text"), F.col("is_rejected")).alias("before"), _info(text, rejected).alias("after"), bad.alias("error"))
-        return df.withColumns(new).drop(*fresh)
+        return df.withColumns(new).drop(*fresh, "_v_reject", "new_extras")
 
     def _global(self, df: DataFrame, stage: GlobalStage, go: Column) -> tuple[DataFrame, Change]:
         if "doc_id" not in df.columns:
             raise ValueError(f"{stage.name} needs a doc_id (transform(..., id_col=...))")
         found = stage.verdicts(df.filter(go)).withColumnRenamed("doc_id", "_v_id")
         df = df.join(found, F.col("doc_id") == F.col("_v_id"), "left").drop("_v_id").withColumnRenamed("reject", "_v_reject")
-        extras = None
-        if "new_extras" in found.columns:
-            from corpusflow.functions.text import merged
-
-            df = df.withColumnRenamed("new_extras", "_v_extras")
-            extras = F.when(F.col("_v_extras").isNull(), F.col("extras")).otherwise(merged(F.col("extras"), F.col("_v_extras")))
-        return df, Change(reject=F.col("_v_reject"), extras=extras)
+        return df, Change(reject=F.col("_v_reject"), new_extras=F.col("new_extras") if "new_extras" in found.columns else None)
 
     # results
 
@@ -166,6 +164,11 @@ class Pipeline(Stage):
         kept = [c for c in out.columns if not c.startswith(_META)]
         return out.observe(seen, *_sums(names)).select(*kept), seen
 
+    def observed_statistics(self, seen: dict[str, int]) -> list[Statistics]:
+        """What an Observation of ``observed`` counted."""
+        names = ["Total", *[s.name for s in self.stages]]
+        return [Statistics(n, **{c: seen[f"{p}{c}"] for c in COUNTERS}) for n, p in zip(names, ["t_", *[f"s{k}_" for k in range(len(self.stages))]])]
+
     def summary(self, format: str = "print") -> Any:  # noqa: A002
         rows = [{"name": s.name, "doc": (type(s).__doc__ or "").strip()} for s in self.stages]
         if format == "json":

@@ -39,13 +39,15 @@ class State:
 class Change:
     """What a stage does: None leaves a column as it is.
 
-    reject: true rejects (null counts as false).  reason: more entries for the reason of
+    reject: true rejects (null counts as false).  new_extras: entries that are merged into
+    extras (a null map: none).  reason: more entries for the reason of
     a rejection (JSON text).  error: not null where the stage failed.
     """
 
     text: Column | None = None
     reject: Column | None = None
     extras: Column | None = None
+    new_extras: Column | None = None
     tokens: Column | None = None
     reason: dict[str, Column] | None = None
     error: Column | None = None
