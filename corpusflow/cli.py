@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from corpusflow import __version__
 from corpusflow.plans.profile import load_profile
 from corpusflow.plans.stats import Statistics, legacy_report
+from corpusflow.sources.storage import written
 from corpusflow.sources.lines import ordered_texts, read_lines, spooled_stdin, write_lines, write_ordered
 
 
@@ -43,11 +44,13 @@ def main(argv: list[str] | None = None) -> int:
         docs, seen = pipeline.observed(read_lines(spark, args.input or spooled))
         if args.output_dir:
             write_lines(docs, args.output_dir, args.all)
-        elif args.output:
-            with open(args.output, "w", encoding="utf-8") as f:
-                write_ordered(ordered_texts(docs, args.all), f)
-        elif not write_ordered(ordered_texts(docs, args.all)):
-            return 1
+        else:  # stored first: sorting reads its input twice, and the counters are those of one complete pass
+            texts = ordered_texts(written(docs.select("doc_id", "text", "is_rejected"), "lines"), args.all)
+            if args.output:
+                with open(args.output, "w", encoding="utf-8") as f:
+                    write_ordered(texts, f)
+            elif not write_ordered(texts):
+                return 1
         values = pipeline.observed_statistics(seen.get)
     finally:
         if spooled:

@@ -121,21 +121,20 @@ def test_first_seen_wins_as_one_by_one(spark):
         run(spark, [ops.InlineDeduplicator()], ["a"])
 
 
-class Client:
-    def __init__(self, *_):
-        self.calls = 0
-        self.chat = SimpleNamespace(completions=self)
-
-    async def create(self, model, messages, **_):
-        self.calls += 1
-        await asyncio.sleep(0)
-        if messages[0]["content"] == "flaky" and self.calls % 2:
-            raise OSError("busy")
-        choices = [] if messages[0]["content"] == "mute" else [SimpleNamespace(message=SimpleNamespace(content=messages[0]["content"].upper()))]
-        return SimpleNamespace(choices=choices)
-
-
 def test_chat(spark):
+    class Client:
+        def __init__(self, *_):
+            self.calls = 0
+            self.chat = SimpleNamespace(completions=self)
+
+        async def create(self, model, messages, **_):
+            self.calls += 1
+            await asyncio.sleep(0)
+            if messages[0]["content"] == "flaky" and self.calls % 2:
+                raise OSError("busy")
+            choices = [] if messages[0]["content"] == "mute" else [SimpleNamespace(message=SimpleNamespace(content=messages[0]["content"].upper()))]
+            return SimpleNamespace(choices=choices)
+
     got = run(spark, [ops.AsyncChatAPI("m", client=Client, max_wait=0.01)], ["hello", "flaky", "mute"], on_error="reject")
     assert [r["extras"].get("llm_output") for r in got] == ['"HELLO"', '"FLAKY"', None]
     assert [r["is_rejected"] for r in got] == [False, False, True]
