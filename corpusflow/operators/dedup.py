@@ -73,17 +73,38 @@ def permutations(num_perm: int, seed: int) -> tuple[list[int], list[int]]:
     return out[:num_perm], out[num_perm:]
 
 
+@lru_cache
+def _permutation_arrays(num_perm: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = permutations(num_perm, seed)
+    return np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
+
+
+@lru_cache(1 << 17)
+def _gram_hash(gram: tuple[str, ...]) -> int:
+    return int.from_bytes(hashlib.md5(" ".join(gram).encode("utf-8", "surrogatepass")).digest()[:4], "big")
+
+
 def _gram_hashes(tokens: list[str], n: int) -> np.ndarray:
-    grams = {" ".join(tokens[k : k + n]) for k in range(len(tokens) - n + 1)}
-    return np.array([int.from_bytes(hashlib.md5(g.encode("utf-8", "surrogatepass")).digest()[:4], "big") for g in grams], dtype=np.uint64)
+    grams = set(zip(*(tokens[k:] for k in range(n))))
+    return np.array([_gram_hash(g) for g in grams], dtype=np.uint64)
+
 
+def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 64) -> np.ndarray:
+    """The smallest value of each permutation; of no hashes, PRIME throughout (short texts collide).
 
-def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 4096) -> np.ndarray:
-    """The smallest value of each permutation; of no hashes, PRIME throughout (short texts collide)."""
+    PRIME is 2**31 - 1, so the remainder is taken by shifts, in chunks that stay in the cache.
+    """
     out = np.full(len(a), PRIME, dtype=np.uint64)
+    low, bits = np.uint64(PRIME), np.uint64(31)
     for k in range(0, len(hashes), chunk):
-        values = (a[:, None] * hashes[None, k : k + chunk] + b[:, None]) % np.uint64(PRIME)
-        np.minimum(out, values.min(axis=1), out=out)
+        values = hashes[k : k + chunk, None] * a
+        values += b
+        for _ in range(2):
+            high = values >> bits
+            values &= low
+            values += high
+        np.minimum(values, values - low, out=values)  # below PRIME the difference wraps around
+        np.minimum(out, values.min(axis=0), out=out)
     return out
 
 
@@ -104,7 +125,7 @@ class GenerateDedupLSH(Stage):
         self.num_bands, self.band_size = band_parameters(threshold, num_perm)
 
     def keys(self, text: str) -> list[str]:
-        a, b = (np.array(x, dtype=np.uint64) for x in permutations(self.num_perm, self.seed))
+        a, b = _permutation_arrays(self.num_perm, self.seed)
         return band_keys(signature(_gram_hashes(list(self._tokenizer(text)), self.n_grams), a, b), self.num_bands, self.band_size)
 
     def plan(self, s: State) -> Change:

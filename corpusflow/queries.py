@@ -267,31 +267,31 @@ def _keys_sql() -> str:
 
 
 @query("minhash_keys", f"WITH {_keys_sql()} SELECT doc_id, '[' || string_agg('\"' || key || '\"', ', ' ORDER BY pos) || ']' AS keys FROM keys GROUP BY doc_id")
-def minhash_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.Pipeline([_lsh()]).transform(documents(spark, sf_dir)).select("doc_id", F.element_at("extras", dedup.KEY).alias("keys"))
+def minhash_keys(spark: SparkSession, sf_dir: str, lsh: Callable[[], ops.Stage] = _lsh) -> DataFrame:
+    return ops.Pipeline([lsh()]).transform(documents(spark, sf_dir)).select("doc_id", F.element_at("extras", dedup.KEY).alias("keys"))
 
 
 _DEDUP_SQL = f"WITH {_keys_sql()} SELECT doc_id, owner IS NOT NULL AS is_rejected FROM documents LEFT JOIN hits USING (doc_id)"
 
 
 @query("dedup_inline", _DEDUP_SQL)
-def dedup_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.Pipeline([_lsh(), ops.InlineDeduplicator()]).transform(documents(spark, sf_dir)).select("doc_id", "is_rejected")
+def dedup_inline(spark: SparkSession, sf_dir: str, lsh: Callable[[], ops.Stage] = _lsh) -> DataFrame:
+    return ops.Pipeline([lsh(), ops.InlineDeduplicator()]).transform(documents(spark, sf_dir)).select("doc_id", "is_rejected")
 
 
 @query("dedup_analyze", f"WITH {_keys_sql()} SELECT d.doc_id, owner IS NOT NULL AS is_rejected, CASE WHEN owner IS NOT NULL THEN CAST(to_json(o.text) AS VARCHAR) END AS similar_doc FROM documents d LEFT JOIN hits USING (doc_id) LEFT JOIN documents o ON o.doc_id = owner")
-def dedup_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ops.Pipeline([_lsh(), ops.InlineDuplicateAnalyzer()]).transform(documents(spark, sf_dir))
+def dedup_analyze(spark: SparkSession, sf_dir: str, lsh: Callable[[], ops.Stage] = _lsh) -> DataFrame:
+    out = ops.Pipeline([lsh(), ops.InlineDuplicateAnalyzer()]).transform(documents(spark, sf_dir))
     return out.select("doc_id", "is_rejected", F.element_at("extras", "similar_doc").alias("similar_doc"))
 
 
-def _two_runs(spark: SparkSession, sf_dir: str, make: Callable[[str], ops.Stage]) -> DataFrame:
+def _two_runs(spark: SparkSession, sf_dir: str, make: Callable[[str], ops.Stage], lsh: Callable[[], ops.Stage] = _lsh) -> DataFrame:
     """All documents against an empty state, then all again: the second run rejects every one."""
     from corpusflow.sources.storage import shared_dir
     import uuid
 
     path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
-    runs = [ops.Pipeline([_lsh(), make(path)]).transform(documents(spark, sf_dir)).select("doc_id", F.lit(k).alias("run"), "is_rejected") for k in (1, 2)]
+    runs = [ops.Pipeline([lsh(), make(path)]).transform(documents(spark, sf_dir)).select("doc_id", F.lit(k).alias("run"), "is_rejected") for k in (1, 2)]
     return runs[0].union(runs[1])
 
 
@@ -308,6 +308,40 @@ def dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_runs(spark, sf_dir, lambda path: ops.BloomDeduplicator(path, 1_000_000_000))
 
 
+# near duplicates with the operator's own splitter and number of permutations; of pairs at FULL_NEAR the bands catch 0.95
+FULL_PERM, FULL_BANDS, FULL_NEAR = 500, 0.7, 0.8
+
+
+def _full_lsh() -> ops.GenerateDedupLSH:
+    return ops.GenerateDedupLSH(FULL_PERM, FULL_BANDS)
+
+
+@query("minhash_keys_full")
+def minhash_keys_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_keys(spark, sf_dir, _full_lsh)
+
+
+@query("dedup_inline_full")
+def dedup_inline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_inline(spark, sf_dir, _full_lsh)
+
+
+@query("dedup_analyze_full")
+def dedup_analyze_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_analyze(spark, sf_dir, _full_lsh)
+
+
+@query("dedup_incremental_full")
+def dedup_incremental_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_runs(spark, sf_dir, ops.KeyTableDeduplicator, _full_lsh)
+
+
+@query("dedup_bloom_full")
+def dedup_bloom_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands, _ = dedup.band_parameters(FULL_BANDS, FULL_PERM)
+    return _two_runs(spark, sf_dir, lambda path: ops.BloomDeduplicator(path, 1_000_000_000, num_bands=bands), _full_lsh)
+
+
 @query("user_filter", "SELECT doc_id, text || chr(33) || length(text) AS text FROM documents WHERE length(text) < 1000")
 def user_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stage written in Python by a user."""

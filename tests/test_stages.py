@@ -121,6 +121,29 @@ def test_first_seen_wins_as_one_by_one(spark):
         run(spark, [ops.InlineDeduplicator()], ["a"])
 
 
+def test_full_queries_against_brute_force_jaccard(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        base = "".join(rng.choice("abcdefghij ") for _ in range(400))
+        texts += [base, "".join(rng.choice("xyz") if rng.random() < 0.015 else c for c in base)]
+    grams = [{t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    near = {k for k in range(1, len(texts), 2) if queries.FULL_NEAR <= jaccard(grams[k - 1], grams[k])}
+    far = {k for k in range(len(texts)) if all(jaccard(grams[k], g) < 0.3 for g in grams[:k])}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(near) >= 30 and len(far) >= 60
+    for name in ("dedup_inline_full", "dedup_analyze_full", "dedup_incremental_full", "dedup_bloom_full"):
+        rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        gone = {r["doc_id"] for r in rows if r["is_rejected"] and ("run" not in r or r["run"] == 1)}
+        assert len(gone & near) >= 0.9 * len(near) and not gone & far
+        assert all(r["is_rejected"] for r in rows if "run" in r and r["run"] == 2)
+    keys = queries.QUERIES["minhash_keys_full"](spark, str(tmp_path)).collect()
+    assert {len(json.loads(r["keys"])) for r in keys} == {41}
+
+
 def test_chat(spark):
     class Client:
         def __init__(self, *_):
