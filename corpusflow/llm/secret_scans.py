@@ -30,6 +30,13 @@ from pyspark.sql import functions as F
 from corpusflow.llm._common import stored
 
 _EDGE = "(?:^|[^0-9A-Za-z_])"
+#: from BEGIN to END with no other five dashes between (so not into the next key); where END is missing, the lines of key characters and what else is on the line after them
+_PRIVATE_KEY = (
+    "-----BEGIN [0-9A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    "(?:[^-]*(?:-{1,4}[^-]+){0,200}-----END [0-9A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    "|(?:(?:[ \\t\\r\\n]|\\\\[nr])*(?:Proc-Type|DEK-Info):[0-9A-Za-z, :-]*)*"
+    "(?:(?:(?:[ \\t\\r\\n\"'+,]|\\\\[nr])*[0-9A-Za-z+/=_-]{16,})+(?:(?:[\\r\\n]|\\\\[nr])+[0-9A-Za-z+/=_]{1,15})?)?)"
+)
 
 
 @dataclass(frozen=True)
@@ -60,7 +67,7 @@ RULES = (
     Rule("google_api_key", _EDGE, "AIza[0-9A-Za-z_-]{35}", "", ("aiza",)),
     Rule("payment_key", _EDGE, "[rs]k_live_[0-9A-Za-z]{24,99}", "", ("k_live_",)),
     Rule("json_web_token", _EDGE, "eyJ[0-9A-Za-z_-]{10,512}[.][0-9A-Za-z_-]{10,512}[.][0-9A-Za-z_-]{10,512}", "", ("eyj",)),
-    Rule("private_key", "", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "", ("-----begin",)),
+    Rule("private_key", "", _PRIVATE_KEY, "", ("-----begin",), version=2),
     Rule("assigned_secret", _EDGE + "(?i:api_?key|secret|token|passwd|password|access_key)[ \\t]*[:=][ \\t]*[\"']", "[0-9A-Za-z_/+=.-]{16,128}", "[\"']", ("key", "secret", "token", "passw")),
 )
 

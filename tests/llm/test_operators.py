@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -128,6 +129,38 @@ def test_redaction(spark):
     assert [r[0] for r in df.select(secret_scans.redacted(F.col("text"))).collect()] == ["a <SECRET> b", None, "nothing"]
 
 
+def secrets_of(spark, texts):
+    """(rule, secret) that Java finds in each text, the same in RE2, and the texts as redacted."""
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    rows = df.select("k", secret_scans.find(F.col("text"), secret_scans.RULES).alias("f"), secret_scans.redacted(F.col("text")).alias("r")).orderBy("k").collect()
+    found = [sorted({(f["rule"], f["secret"]) for f in r["f"]}) for r in rows]
+    con = duckdb.connect()
+    for t, f in zip(texts, found):
+        assert sorted({(r.name, s) for r in secret_scans.RULES for s in con.execute("SELECT regexp_extract_all(?, ?, 1)", [t, r.pattern]).fetchone()[0]}) == f
+    return found, [r["r"] for r in rows]
+
+
+def test_private_keys_whole(spark):
+    rng = random.Random(21)
+    body = lambda n, end="\n": end.join("".join(rng.choices("ABCDefgh0123+/", k=64)) for _ in range(n))
+    key = lambda kind, inner, end="\n": f"-----BEGIN {kind}-----{end}{inner}{end}-----END {kind}-----"
+    one, two = key("RSA PRIVATE KEY", body(50)), key("PRIVATE KEY", body(3) + "\nQw7x==")
+    coded = key("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n" + body(4))
+    escaped = key("EC PRIVATE KEY", body(2, "\\n"), "\\n")
+    pgp = key("PGP PRIVATE KEY BLOCK", "Version: GnuPG v1 (GNU/Linux)\n\n" + body(3) + "\n=aB3d")
+    torn = "-----BEGIN PRIVATE KEY-----\n" + body(3) + "\nQw7x"
+    texts = [f"a {one} b", f"{one}\nand {two} c", f"x {coded} y", f'{{"k": "{escaped}"}}', pgp, torn, f"{torn}\n\n{two}", "-----BEGIN PRIVATE KEY----- and no key at all - only words"]
+    found, clean = secrets_of(spark, texts)
+    keys = [sorted(s for r, s in f if r == "private_key") for f in found]
+    assert keys == [sorted(k) for k in ([one], [one, two], [coded], [escaped], [pgp], [torn], [torn, two], ["-----BEGIN PRIVATE KEY-----"])]
+    assert clean == ["a <SECRET> b", "<SECRET>\nand <SECRET> c", "x <SECRET> y", '{"k": "<SECRET>"}', "<SECRET>", "<SECRET>", "<SECRET>\n\n<SECRET>", "<SECRET> and no key at all - only words"]
+
+
+def test_a_hyphenated_text_after_begin(spark):
+    text = "-----BEGIN PRIVATE KEY-----\n" + "well-known and long " * 20_000
+    assert secrets_of(spark, [text])[1] == ["<SECRET>" + text[27:]]
+
+
 # 4
 
 
