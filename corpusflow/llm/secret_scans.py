@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from corpusflow.llm._common import stored
 
 _EDGE = "(?:^|[^0-9A-Za-z_])"
+#: the end of an assigned name; any prefix may stand before it
+_NAME = "(?i:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passwd|password)"
+#: what ends an assigned value (in a class): quotes, controls and white space
+_STOP = "\\x00-\\x20\"'\\x{A0}\\x{2000}-\\x{200A}\\x{3000}"
 #: from BEGIN to END with no other five dashes between (so not into the next key); where END is missing, the lines of key characters and what else is on the line after them
 _PRIVATE_KEY = (
     "-----BEGIN [0-9A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
@@ -62,13 +66,13 @@ class Rule:
 
 RULES = (
     Rule("aws_access_key", _EDGE, "(?:AKIA|ASIA)[0-9A-Z]{16}", "", ("akia", "asia")),
-    Rule("github_token", _EDGE, "gh[opsur]_[0-9A-Za-z]{36,255}", "", ("gho_", "ghp_", "ghs_", "ghu_", "ghr_")),
-    Rule("slack_token", _EDGE, "xox[abprs]-[0-9A-Za-z-]{10,72}", "", ("xox",)),
+    Rule("github_token", _EDGE, "gh[opsur]_[0-9A-Za-z]{36,}", "", ("gho_", "ghp_", "ghs_", "ghu_", "ghr_"), version=2),
+    Rule("slack_token", _EDGE, "xox[abprs]-[0-9A-Za-z-]{10,}", "", ("xox",), version=2),
     Rule("google_api_key", _EDGE, "AIza[0-9A-Za-z_-]{35}", "", ("aiza",)),
-    Rule("payment_key", _EDGE, "[rs]k_live_[0-9A-Za-z]{24,99}", "", ("k_live_",)),
-    Rule("json_web_token", _EDGE, "eyJ[0-9A-Za-z_-]{10,512}[.][0-9A-Za-z_-]{10,512}[.][0-9A-Za-z_-]{10,512}", "", ("eyj",)),
+    Rule("payment_key", _EDGE, "[rs]k_live_[0-9A-Za-z]{24,}", "", ("k_live_",), version=2),
+    Rule("json_web_token", _EDGE, "eyJ[0-9A-Za-z_-]{10,}[.][0-9A-Za-z_-]{10,}[.][0-9A-Za-z_-]{10,}", "", ("eyj",), version=2),
     Rule("private_key", "", _PRIVATE_KEY, "", ("-----begin",), version=2),
-    Rule("assigned_secret", _EDGE + "(?i:api_?key|secret|token|passwd|password|access_key)[ \\t]*[:=][ \\t]*[\"']", "[0-9A-Za-z_/+=.-]{16,128}", "[\"']", ("key", "secret", "token", "passw")),
+    Rule("assigned_secret", _NAME + "\\\\*[\"']?[ \\t]*(?::=|==|=>|[:=])[ \\t]*\\\\*[\"']?", f"[^{_STOP}]{{15,}}[^{_STOP},;)\\]}}>\\\\]", "", ("key", "secret", "token", "passw"), version=2),
 )
 
 

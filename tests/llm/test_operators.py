@@ -156,6 +156,21 @@ def test_private_keys_whole(spark):
     assert clean == ["a <SECRET> b", "<SECRET>\nand <SECRET> c", "x <SECRET> y", '{"k": "<SECRET>"}', "<SECRET>", "<SECRET>", "<SECRET>\n\n<SECRET>", "<SECRET> and no key at all - only words"]
 
 
+def test_long_and_variously_assigned_secrets(spark):
+    rng = random.Random(22)
+    run = lambda n: "".join(rng.choices("abcdXYZ0189_", k=n - 1)) + "q"
+    jwt = ".".join(("eyJ" + run(40), run(700), run(683)))
+    v = run(200)
+    assigned = ['token = "{}"', 'client_secret = "{}"', 'AWS_SECRET_ACCESS_KEY="{}"', '{{"api_key": "{}"}}', "password={}", "export DB_PASSWORD={} # new", "x-api-key: {}", 'k = "{{\\"secret\\": \\"{}\\"}}"', "SECRET_KEY='{}';", "f(token={}), g"]
+    texts = [f"bearer {jwt} end", "slack xoxb-" + v.replace("_", "-") + " end", *[a.format(v) for a in assigned], "password=p@ss!w0rd#with$more&such end", 'a token is "short", and password: is not a secret by itself']
+    found, clean = secrets_of(spark, texts)
+    assert found[0] == [("json_web_token", jwt)] and clean[0] == "bearer <SECRET> end"
+    assert clean[1] == "slack <SECRET> end"
+    n = len(assigned)
+    assert found[2 : n + 2] == [[("assigned_secret", v)]] * n and clean[2 : n + 2] == [a.format("<SECRET>") for a in assigned]
+    assert clean[n + 2 :] == ["password=<SECRET> end", texts[-1]]
+
+
 def test_a_hyphenated_text_after_begin(spark):
     text = "-----BEGIN PRIVATE KEY-----\n" + "well-known and long " * 20_000
     assert secrets_of(spark, [text])[1] == ["<SECRET>" + text[27:]]
