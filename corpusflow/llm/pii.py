@@ -6,14 +6,17 @@ the span of source characters that it came from:
 1. homoglyphs: full-width forms, Cyrillic and Greek look-alikes of Latin letters,
    other scripts' digits and look-alike punctuation, one character for one; invisible
    characters (zero-width, soft hyphen, direction marks) are erased
-2. spelled digits: runs of at least 3 English digit words (``oh`` within a run is 0), joined
-   by spaces, hyphens, dots or commas, or by ``plus`` at their start
+2. spelled digits: runs of at least 3 digit words of English, German, French or Spanish (``oh`` within a
+   run is 0), joined by spaces, hyphens, dots or commas, or by ``plus`` at their start
 3. at and dot: ``[at] (at) {at} <at>`` and ``[dot] (dot) ...`` anywhere, the bare words ``at`` and ``dot``
-   only in ``name at host dot domain``; spaces around them go
+   only in ``name at host dot domain``; spaces around them go; likewise ``ät`` and ``punkt``, ``arobase`` and
+   ``point``, ``arroba`` and ``punto``
 
 Detectors then run on the normalised text: e-mail addresses, card numbers (13 to 19
 digits, Luhn), IPv4 addresses, US social security numbers, IBANs (mod 97) and
-telephone numbers, in this order; a span belongs to the first that takes it.  Each
+telephone numbers, in this order; a span belongs to the first that takes it.  Digits of
+a spelled run need no separators: 9 of them may be a social security number, 7 to 15 a
+telephone number.  Each
 normalised span is mapped back to the source characters (start inclusive, end
 exclusive, code points), so ``surface`` is exactly what stands in the source.
 
@@ -42,23 +45,38 @@ _GONE = "​‌‍⁠﻿­‎‏‪‫‬‭‮"
 TABLE = str.maketrans(_LOOK)
 _ERASE = re.compile(f"[{_GONE}]+")
 
-_DIGIT = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_DW = "(?:zero|one|two|three|four|five|six|seven|eight|nine)"
-_SPELLED = re.compile(rf"(?i)\b(?:plus[ ]+)?{_DW}(?:[ \-.,]{{1,3}}(?:{_DW}|oh|[0-9]+)){{2,}}\b")
-_PART = re.compile(r"(?i)plus[ ]+|[a-z]+|[0-9]+|[ \-.,]+")
+_DIGIT = {"oh": "0"} | {w: str(k) for k, words in enumerate((
+    "zero null zéro ze\u0301ro cero", "one eins un uno", "two zwei zwo deux dos", "three drei trois tres", "four vier quatre cuatro",
+    "five fünf fu\u0308nf fuenf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve",
+)) for w in words.split()}
+_DW = f"(?:{'|'.join(sorted(_DIGIT.keys() - {'oh'}, key=lambda w: (-len(w), w)))})"
+_PLUS = "(?:plus|más|mas)"
+_SPELLED = re.compile(rf"(?i)\b(?!un[ \-.,]+[0-9])(?:{_PLUS}[ ]+)?{_DW}(?:[ \-.,]{{1,3}}(?:{_DW}|oh|[0-9]+)){{2,}}\b")
+_PART = re.compile(rf"(?i){_PLUS}[ ]+|{_DW}|oh|[0-9]+|[ \-.,]+")
+#: words for at and for dot, by language
+_WORDS = (("at|ät|a\u0308t", "dot|punkt"), ("arobase|arobas", "point|dot"), ("arroba", "punto|dot"))
+_AT, _DOT = ("|".join(sorted({w for pair in _WORDS for w in pair[k].split("|")}, reverse=True)) for k in (0, 1))
 _ATDOT = re.compile(
-    r"(?i)(?P<at>[ ]*[\[({<][ ]*at[ ]*[\])}>][ ]*)|(?P<dot>[ ]*[\[({<][ ]*dot[ ]*[\])}>][ ]*)"
+    rf"(?i)(?P<at>[ ]*[\[({{<][ ]*(?:{_AT})[ ]*[\])}}>][ ]*)|(?P<dot>[ ]*[\[({{<][ ]*(?:{_DOT})[ ]*[\])}}>][ ]*)"
 )
-_PLAIN_ATDOT = re.compile(
-    r"(?i)(?P<plain>(?<![^\s,;:<(])[a-z0-9][a-z0-9._%+-]*(?:[ ]+dot[ ]+[a-z0-9]+)*[ ]+at[ ]+(?!(?:the|an?|this|that|my|our|your)\b)[a-z0-9-]+(?:(?:[ ]+dot[ ]+|\.)[a-z0-9-]+)*[ ]+dot[ ]+[a-z]{2,}\b)"
-)
-_PLAIN = re.compile(r"(?i)[ ]+(at|dot)[ ]+")
-_DOT_WORD = re.compile(r"(?i) dot ")
+#: (what a text needs, name at host dot domain) of each language
+_PLAIN_ATDOT = [
+    (
+        re.compile(rf"(?i) (?:{at}) "),
+        re.compile(rf"(?i) (?:{dot}) "),
+        re.compile(
+            rf"(?i)(?P<plain>(?<![^\s,;:<(])[a-z0-9][a-z0-9._%+-]*(?:[ ]+(?:{dot})[ ]+[a-z0-9]+)*[ ]+(?:{at})[ ]+(?!(?:the|an?|this|that|my|our|your)\b)[a-z0-9-]+(?:(?:[ ]+(?:{dot})[ ]+|\.)[a-z0-9-]+)*[ ]+(?:{dot})[ ]+[a-z]{{2,}}\b)"
+        ),
+    )
+    for at, dot in _WORDS
+]
+_PLAIN = re.compile(rf"(?i)[ ]+(?:({_AT})|{_DOT})[ ]+")
 
-#: necessary for a detection: an at sign, a digit of any script, a run of spelled digits or an at in disguise (any look-alike or invisible character may hide one)
+#: necessary for a detection: an at sign, a digit of any script, a run of spelled digits or an at or dot word in disguise (any look-alike or invisible character may hide one)
 TRACE = (
-    r"(?iu)[@\x{FE6B}\p{Nd}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}\x{AD}\x{0370}-\x{052F}\x{FF01}-\x{FF5E}\x{217C}]|[\[({<][ \x{A0}\x{3000}\x{202F}\x{2009}]*at[ \x{A0}\x{3000}\x{202F}\x{2009}]*[\])}>]"
-    rf"|[ \x{{A0}}\x{{3000}}\x{{202F}}\x{{2009}}]dot[ \x{{A0}}\x{{3000}}\x{{202F}}\x{{2009}}]|{_DW}[^a-z]{{1,3}}(?:{_DW}|oh)"
+    r"(?iu)[@\x{FE6B}\p{Nd}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}\x{AD}\x{0370}-\x{052F}\x{FF01}-\x{FF5E}\x{217C}]"
+    rf"|[\[({{<][ \x{{A0}}\x{{3000}}\x{{202F}}\x{{2009}}]*(?:{_AT})[ \x{{A0}}\x{{3000}}\x{{202F}}\x{{2009}}]*[\])}}>]"
+    rf"|[ \x{{A0}}\x{{3000}}\x{{202F}}\x{{2009}}](?:dot|punkt|arobase?|arroba)[ \x{{A0}}\x{{3000}}\x{{202F}}\x{{2009}}]|\b{_DW}[^a-z]{{1,3}}(?:{_DW}|oh)"
 )
 
 
@@ -68,6 +86,7 @@ class Mapped:
     def __init__(self, text: str) -> None:
         self.text, self.starts, self.source, self.ends = text, [0], [0], [len(text)]
         self.exact = [True]
+        self.spelled: list[tuple[int, int]] = []
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """Source span of characters start..end (not empty)."""
@@ -85,6 +104,7 @@ class Mapped:
         if not pieces:
             return self
         out = Mapped("")
+        out.spelled = self.spelled
         out.starts, out.source, out.ends, out.exact = [], [], [], []
         parts: list[str] = []
         length = 0
@@ -126,7 +146,7 @@ def _digits_of(piece: str, start: int) -> list[tuple[int, int, str]]:
     out = []
     for s, e, x in found:
         if x[0].isalnum():
-            new = "+" if x.startswith("plus") else _DIGIT.get(x, x)
+            new = "+" if x[-1] == " " else _DIGIT.get(x, x)
         else:
             new = "" if len(marks) == 1 or not x.strip() else "." if x.strip() == "." else "-"
         out.append((s, e, new))
@@ -138,13 +158,16 @@ def normalise(text: str) -> Mapped:
     if not text.isascii():
         m.text = text.translate(TABLE)  # one for one
         m = m.rewrite([(x.start(), x.end(), "") for x in _ERASE.finditer(m.text)])
-    m = m.rewrite([p for x in _SPELLED.finditer(m.text) for p in _digits_of(x.group(), x.start())])
+    runs = list(_SPELLED.finditer(m.text))
+    m.spelled = [m.span(*x.span()) for x in runs]
+    m = m.rewrite([p for x in runs for p in _digits_of(x.group(), x.start())])
     m = m.rewrite([(x.start(), x.end(), "@" if x.lastgroup == "at" else ".") for x in _ATDOT.finditer(m.text)])
-    if not _DOT_WORD.search(m.text):
-        return m
-    return m.rewrite(
-        [(x.start() + y.start(), x.start() + y.end(), "@" if y.group(1).lower() == "at" else ".") for x in _PLAIN_ATDOT.finditer(m.text) for y in _PLAIN.finditer(x.group())]
-    )
+    for at, dot, plain in _PLAIN_ATDOT:
+        if dot.search(m.text) and at.search(m.text):
+            m = m.rewrite(
+                [(x.start() + y.start(), x.start() + y.end(), "@" if y.group(1) else ".") for x in plain.finditer(m.text) for y in _PLAIN.finditer(x.group())]
+            )
+    return m
 
 
 def luhn(digits: str) -> bool:
@@ -170,6 +193,20 @@ def _phone(s: str) -> bool:
     return 7 <= n <= 15 and (s[0] == "+" or "(" in s or re.search(r"\d[ .-]\d", s) is not None or n == 10)
 
 
+def _spelled_ssn(s: str) -> bool:
+    return _SSN.fullmatch(s) is not None and _spelled_phone(s)
+
+
+def _spelled_phone(s: str) -> bool:
+    return len(set(s)) > 1  # not one word over and over
+
+
+_SSN = re.compile("(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}")
+#: (pattern, what else a detector takes) of digits that come from a run of spelled ones
+SPELLED = {
+    "ssn": (re.compile("(?<![0-9A-Za-z.+-])[0-9]{9}(?![0-9A-Za-z-]|\\.[0-9])"), _spelled_ssn),
+    "phone": (re.compile("(?<![0-9A-Za-z.+])[0-9]{7,15}(?![0-9A-Za-z]|\\.[0-9])"), _spelled_phone),
+}
 DETECTORS = (
     ("email", re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]{0,63}@(?:[a-z0-9-]{1,63}\.)+[a-z]{2,24}(?![a-z0-9-])"), None),
     ("card", re.compile(r"(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"), _card),
@@ -185,15 +222,23 @@ def findings(text: str) -> list[tuple[str, int, int, str, str]]:
     m = normalise(text)
     taken: list[tuple[int, int]] = []
     out = []
-    for kind, pattern, valid in DETECTORS:
-        if kind == "email" and "@" not in m.text:
-            continue
+
+    def take(kind: str, pattern: re.Pattern, valid, spelled: bool = False) -> None:
         for x in pattern.finditer(m.text):
             s, e = x.span()
             if (valid is None or valid(x.group())) and not any(s < b and a < e for a, b in taken):
-                taken.append((s, e))
                 a, b = m.span(s, e)
+                if spelled and not any(p <= a and b <= q for p, q in m.spelled):
+                    continue
+                taken.append((s, e))
                 out.append((kind, a, b, text[a:b], x.group()))
+
+    for kind, pattern, valid in DETECTORS:
+        if kind == "email" and "@" not in m.text:
+            continue
+        take(kind, pattern, valid)
+        if m.spelled and kind in SPELLED:
+            take(kind, *SPELLED[kind], spelled=True)
     return sorted(out, key=lambda f: (f[1], f[2], f[0]))
 
 

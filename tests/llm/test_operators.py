@@ -383,6 +383,48 @@ def test_prefilter_loses_nothing(spark, odd, none):
     assert pii.detect(none).count() == 0
 
 
+SPELLED = {
+    "en": "zero one two three four five six seven eight nine", "de": "null eins zwei drei vier fünf sechs sieben acht neun",
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf", "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
+}
+
+
+@pytest.mark.parametrize("lang", SPELLED)
+def test_spelled_runs_against_brute_force(spark, lang):
+    rng = random.Random(23)
+    names = SPELLED[lang].split()
+    rows, want = [], set()
+    for k in range(240):
+        n = rng.choice([5, 6, 7, 9, 11, 15])
+        digits = "".join(rng.choices("0123456789", k=n))
+        run = rng.choice([" ", "-", ", ", "."]).join(names[int(d)] for d in digits)
+        rows.append((k, f"<< {rng.choice([run, run.upper()])} >>"))
+        a, b, c = int(digits[:3]), digits[3:5], digits[5:]
+        if n == 9 and 0 < a < 900 and a != 666 and b != "00" and c != "0000":
+            want.add((k, "ssn", 3, 3 + len(run), digits))
+        elif n >= 7 and not (n == 15 and len(set(digits)) > 1 and pii.luhn(digits)):
+            want.add((k, "phone", 3, 3 + len(run), digits))
+        elif n == 15:
+            want.add((k, "card", 3, 3 + len(run), digits))
+    got = pii.detect(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["kind"], r["start"], r["end"], r["normalized"]) for r in got} == want
+
+
+def test_digits_that_were_not_spelled_need_marks():
+    assert pii.findings("number 5551234 and 123456789 and 18005551234 but two three") == []
+    assert pii.findings("un un un un un un un un un") == []
+    assert [f[0::3] for f in pii.findings("c'est un 56.219.220.54")] == [("ipv4", "56.219.220.54")]
+
+
+@pytest.mark.parametrize(
+    ("surface", "normalized"),
+    [("hans ät beispiel punkt de", "hans@beispiel.de"), ("jean arobase exemple point fr", "jean@exemple.fr"), ("juan arroba correo punto ejemplo punto es", "juan@correo.ejemplo.es"), ("eva [arroba] ejemplo [punto] es", "eva@ejemplo.es"), ("uwe (a\u0308t) beispiel (punkt) de", "uwe@beispiel.de")],
+)
+def test_at_and_dot_words_of_other_languages(spark, surface, normalized):
+    docs = spark.createDataFrame([(1, f"; {surface} ; arrived at some point in time, un point est un point, el punto es")], "doc_id bigint, text string")
+    assert [(r["kind"], r["surface"], r["normalized"]) for r in pii.detect(docs).collect()] == [("email", surface, normalized)]
+
+
 # 10
 
 
