@@ -6,26 +6,29 @@ measure after a number is ``<UNIT>``; all others are themselves, folded.  Window
 ``WINDOW`` templates of the documents are joined by hash with those of the benchmark,
 so a question asked again with other numbers, names or units still joins.
 
+The windows of the folded words themselves are joined too, so a verbatim copy is found
+where templates can't tell (few literal words) or differ (other capitals).
+
 Joined windows of a document and an item are put on diagonals (position in the
 document less position in the item), so each diagonal is one alignment.  Slot
 consistency: within an alignment each value of a slot in the item must always have
 become the same value in the document (``7 ... 7`` may become ``12 ... 12``, not
 ``12 ... 15``).  A window that breaks the majority's mapping of one of its slots is
-dropped.  An item is found in a document if the windows left, over all its
-alignments, cover at least ``coverage`` of the item's windows.
+dropped.  A position of the item is covered if its window of either kind is left, in
+any alignment.  An item is found in a document if at least ``coverage`` of its
+positions are covered, or of those positions that have a template window.
 
 Documents are read once and reduced, next to the scan, to the few windows that the
 benchmark has: its sorted window hashes are sent to the tasks if there are at most
 ``SENT_WINDOWS`` (8 bytes each), else all windows are joined by a shuffle.
 
-A window needs ``MIN_LITERAL`` literal words, or tables of numbers would match.  An
-item of fewer than WINDOW words is one window as long as itself; one of fewer than
-``MIN_ITEM`` words, or without enough literal words, can't be told from chance and is
-never found.
+A template window needs ``MIN_LITERAL`` literal words, or tables of other numbers would
+match.  An item of fewer than WINDOW words is one window as long as itself; one of fewer
+than ``MIN_ITEM`` words, or without enough literal words, is found by its words only.
 
 * null or empty text, null doc_id or item_id: not in the result
 * repeated documents: one row for each doc_id and item_id; for repeated item_ids
-  the windows of all their texts count as one item
+  the windows of all their different texts count as one item
 * extra columns: not in the result; empty tables: empty result
 """
 
@@ -45,7 +48,7 @@ WINDOW, COVERAGE, MIN_LITERAL, MIN_ITEM = 8, 0.4, 4, 4
 SENT_WINDOWS = 4_000_000
 UNITS = ("kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "mile", "miles", "ft", "feet", "inch", "inches", "yd", "meter", "meters", "metre", "metres", "l", "ml", "litre", "litres", "liter", "liters", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "usd", "eur", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "kmh", "mph", "c", "f", "k", "w", "kw", "v", "hz", "gb", "mb")
 
-_NUM, _NAME, _UNIT = (np.uint64(tk.mix(np.array([k], dtype=np.uint64))[0]) for k in (101, 102, 103))
+_NUM, _NAME, _UNIT, _WORDS = (np.uint64(tk.mix(np.array([k], dtype=np.uint64))[0]) for k in (101, 102, 103, 104))
 
 
 def word_hashes(items: list[str]) -> np.ndarray:
@@ -96,16 +99,15 @@ def templates(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[tk.
     return w, out, number | name | unit
 
 
-def _windows(raw, offsets, i, j, length: int, keep: np.ndarray | None, whole: bool = False):
-    """(row, position, hash, values of slots) of windows of rows i..j with enough literals, of those in keep; whole: only rows of exactly that length."""
-    w, template, slot = templates(raw, offsets, i, j)
-    return _cut(w, template, slot, length, keep, whole)
-
-
-def _cut(w, template, slot, length, keep, whole=False):
-    grams, at = tk.ngrams(template, w.row, length)
-    literal = np.concatenate([[0], np.cumsum(~slot)])
-    ok = literal[at + length] - literal[at] >= min(MIN_LITERAL, length)
+def _cut(w, template, slot, length, keep, exact, whole=False):
+    """(row, position, hash, values of slots) of windows of that length, of those in keep; exact: of the words, else of templates with enough literals; whole: only rows of exactly that length."""
+    grams, at = tk.ngrams(w.hash if exact else template, w.row, length)
+    if exact:
+        grams = tk.mix(grams ^ _WORDS)
+        ok = np.ones(len(at), dtype=bool)
+    else:
+        literal = np.concatenate([[0], np.cumsum(~slot)])
+        ok = literal[at + length] - literal[at] >= min(MIN_LITERAL, length)
     if keep is not None:
         ok &= _member(grams, keep)
     bounds = w.bounds()
@@ -113,25 +115,30 @@ def _cut(w, template, slot, length, keep, whole=False):
         ok &= np.diff(bounds)[w.row[at]] == length
     grams, at = grams[ok], at[ok]
     row = w.row[at]
-    return row, at - bounds[row], grams, [w.hash[k : k + length][slot[k : k + length]] for k in at]
+    none = np.zeros(0, dtype=np.uint64)
+    return row, at - bounds[row], grams, [none if exact else w.hash[k : k + length][slot[k : k + length]] for k in at]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, pos, length, hash and slots of each window, and n, the windows of the item."""
+    """item_id, part (its text), pos, length, exact, hash and slots of each window; alike: whether its position has a template window; n and n_alike: the positions of the item, and those alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, parts = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             raw, offsets = tk.string_buffer(b.column(1))
             for i, j in tk.blocks(offsets):
                 words, template, slot = templates(raw, offsets, i, j)
-                for length in range(MIN_ITEM, WINDOW + 1):
-                    row, pos, grams, slots = _cut(words, template, slot, length, None, whole=length < WINDOW)
-                    yield _batch(ids[i:j][row], pos, length, grams, slots, "item_id")
+                for length in range(1, WINDOW + 1):
+                    for exact in (True, False) if length >= MIN_ITEM else (True,):
+                        row, pos, grams, slots = _cut(words, template, slot, length, None, exact, whole=length < WINDOW)
+                        out = _batch(ids[i:j][row], pos, length, grams, slots, "item_id")
+                        yield out.append_column("part", pa.array(parts[i:j][row], pa.int64())).append_column("exact", pa.array(np.full(len(row), exact)))
 
-    found = benchmark.select(F.col("item_id").cast("bigint"), F.col("text")).filter("item_id is not null and text is not null")
-    found = found.mapInArrow(run, "item_id bigint, pos int, length int, hash bigint, slots array<bigint>")
-    return found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
+    found = benchmark.select(F.col("item_id").cast("bigint"), F.col("text"), F.xxhash64("text").alias("part")).filter("item_id is not null and text is not null").distinct()
+    found = found.mapInArrow(run, "item_id bigint, pos int, length int, hash bigint, slots array<bigint>, part bigint, exact boolean")
+    found = found.withColumn("alike", F.bool_or(~F.col("exact")).over(Window.partitionBy("item_id", "part", "pos")))
+    item = Window.partitionBy("item_id")
+    return found.withColumn("n", F.count_if("exact").over(item)).withColumn("n_alike", F.count_if(~F.col("exact")).over(item))
 
 
 def _batch(ids, pos, length, grams, slots, key: str) -> pa.RecordBatch:
@@ -141,8 +148,8 @@ def _batch(ids, pos, length, grams, slots, key: str) -> pa.RecordBatch:
     )
 
 
-def document_windows(docs: DataFrame, lengths: list[int], keep: np.ndarray | None) -> DataFrame:
-    """doc_id, pos, length, hash and slots of the documents' windows (of those in keep)."""
+def document_windows(docs: DataFrame, lengths: list[tuple[int, bool]], keep: np.ndarray | None) -> DataFrame:
+    """doc_id, pos, length, hash and slots of the documents' windows (of those in keep); lengths: of each, and whether exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,8 +157,8 @@ def document_windows(docs: DataFrame, lengths: list[int], keep: np.ndarray | Non
             raw, offsets = tk.string_buffer(b.column(1))
             for i, j in tk.blocks(offsets):
                 words, template, slot = templates(raw, offsets, i, j)
-                for length in lengths:
-                    row, pos, grams, slots = _cut(words, template, slot, length, keep)
+                for length, exact in lengths:
+                    row, pos, grams, slots = _cut(words, template, slot, length, keep, exact)
                     if len(row):
                         yield _batch(ids[i:j][row], pos, length, grams, slots, "doc_id")
 
@@ -162,13 +169,13 @@ def document_windows(docs: DataFrame, lengths: list[int], keep: np.ndarray | Non
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, windows (of the item found), item_windows and covered, a row for each item found in a document."""
     bench = stored(benchmark_windows(benchmark), "benchmark_windows")
-    lengths = sorted(r["length"] for r in bench.select("length").distinct().collect())  # at most WINDOW rows
+    lengths = sorted((r["length"], r["exact"]) for r in bench.select("length", "exact").distinct().collect())  # at most 2 * WINDOW rows
     distinct = bench.select("hash").distinct()
     keep = None
     if distinct.limit(SENT_WINDOWS + 1).count() <= SENT_WINDOWS:
         keep = np.sort(distinct.toPandas()["hash"].to_numpy().astype(np.int64).view(np.uint64))
     found = document_windows(docs, lengths, keep)
-    b = bench.select("item_id", F.col("pos").alias("at"), "length", "hash", F.col("slots").alias("asked"), "n")
+    b = bench.select("item_id", F.struct("part", "pos").alias("place"), F.col("pos").alias("at"), "length", "hash", F.col("slots").alias("asked"), "alike", "n", "n_alike")
     hits = found.dropDuplicates(["doc_id", "pos", "length", "hash"]).join(b, ["hash", "length"]).withColumn("diagonal", F.col("pos") - F.col("at"))
     hits = hits.withColumn("pairs", F.arrays_zip("asked", "slots"))
     key = ["doc_id", "item_id", "diagonal"]
@@ -177,6 +184,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     chosen = votes.groupBy(*key, "asked").agg(F.min_by("value", F.struct(-F.col("votes"), F.col("value"))).alias("value"))
     mapping = chosen.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("asked", "value"))).alias("mapping"))
     kept = hits.join(mapping, key, "left").filter(F.forall("pairs", lambda p: F.element_at(F.col("mapping"), p["asked"]) == p["slots"]))
-    out = kept.groupBy("doc_id", "item_id").agg(F.count_distinct("at", "hash").alias("windows"), F.max("n").alias("item_windows"))
+    out = kept.groupBy("doc_id", "item_id").agg(
+        F.count_distinct("place").alias("windows"),
+        F.count_distinct(F.when(F.col("alike"), F.col("place"))).alias("windows_alike"),
+        F.max("n").alias("item_windows"),
+        F.max("n_alike").alias("item_windows_alike"),
+    )
+    by_alike = F.coalesce(F.col("windows_alike") * F.col("item_windows") > F.col("windows") * F.col("item_windows_alike"), F.lit(False))
+    out = out.select("doc_id", "item_id", *[F.when(by_alike, F.col(f"{c}_alike")).otherwise(F.col(c)).alias(c) for c in ("windows", "item_windows")])
     out = out.withColumn("covered", F.col("windows") / F.col("item_windows"))
     return out.filter(F.col("covered") >= coverage)

@@ -238,6 +238,16 @@ def test_templates(spark, odd, none):
     assert decontamination.contaminated(odd, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_verbatim_copies_that_templates_miss(spark):
+    items = {1: "Compute 12 * 45 + 3.", 2: "3 14 15 92 65 35 89 79 32 38 46", 3: "we once met the painter Vermeer in his old house by the canal", 4: "Seven wise men went over the quiet hills", 5: "Paris Match"}
+    texts = ["so: compute 12 * 45 + 3. done", "digits 3 14 15 92 65 35 89 79 32 38 46 end", "it says " + items[3].lower() + " there", "they say, " + items[4] + " at dawn", "the paris match of May"]
+    other = ["compute 13 * 45 + 3", "digits 3 14 16 92 65 36 89 79 33 38 46 end", "we met in paris", "a match"]
+    docs = spark.createDataFrame(list(enumerate(texts + other, 1)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([*items.items(), (1, items[1])], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["covered"] for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(k, k): 1.0 for k in items}
+
+
 def test_windows_by_join_as_when_sent(spark, monkeypatch):
     rng = random.Random(9)
     items = [(k, words_of(rng, 30)) for k in range(5)]
