@@ -26,7 +26,9 @@ def start(pipeline: Pipeline, stream: DataFrame, out: str, checkpoint: str, ever
 
 
 def start_batches(pipeline: Pipeline, stream: DataFrame, out: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Like start, for any pipeline, batch by batch; the stream has a doc_id.  Each batch has a folder of its own, which a repeat overwrites."""
+    """Like start, batch by batch, also for stages with a key table; the stream has a doc_id.  Each batch has a folder of its own, which a repeat overwrites."""
+    if any(isinstance(s, GlobalStage) and not isinstance(s, KeyTableDeduplicator) for s in pipeline.stages):
+        raise ValueError("a stage without a key table would look at each batch alone: use KeyTableDeduplicator or BloomDeduplicator")
 
     def each(batch: DataFrame, number: int) -> None:
         for s in pipeline.stages:

@@ -196,6 +196,13 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/b").count() <= 3
 
 
+def test_streams_need_a_key_table(spark, tmp_path):
+    stream = spark.readStream.schema("doc_id bigint, text string").parquet(str(tmp_path))
+    for stage in (ops.InlineDeduplicator, ops.InlineDuplicateAnalyzer):
+        with pytest.raises(ValueError, match="key table"):
+            start_batches(ops.Pipeline([ops.GenerateDedupLSH(10, 0.5), stage()]), stream, f"{tmp_path}/b", f"{tmp_path}/c")
+
+
 def test_one_document(spark):
     d = ops.DocumentLengthFilter(5).apply(Document("abc"))
     assert d.is_rejected and d.reject_reason["min_doc_len"] == 5 and d.original == "abc"
