@@ -59,6 +59,65 @@ def test_codewords_differ():
     assert (language_id.codewords(5) @ language_id.codewords(5).T)[0, 1] == 15 - 2 * 8
 
 
+def naive_counts(text):
+    """Letters, and hashed n-grams counted one by one in pure Python: bytes that are no letters are one space where a run of them follows a letter."""
+    data, out = text.encode(), Counter()
+    stream = []
+    for ch in text:
+        enc = ch.lower().encode() if ch.isalpha() else b""
+        stream += [*enc] if enc else ([32] if stream and stream[-1] != 32 else [])
+    for n in (1, 2, 3):
+        for k in range(len(stream) - n + 1):
+            g = 0
+            for b in stream[k : k + n]:
+                g = (g << 8 | b) & 0xFFFFFFFF
+            out[(g * 0x9E3779B1 + (n * 0x85EBCA6B & 0xFFFFFFFF) & 0xFFFFFFFF) >> 20] += 1
+    assert len(data) >= len(text)
+    return out
+
+
+def test_language_counts_and_decoding_against_brute_force(monkeypatch):
+    rng = random.Random(41)
+    texts = ["".join(rng.choice("abcXYZ é ü ñß0_ 12.,;") for _ in range(rng.randrange(120))) for _ in range(40)] + ["", "  7", "word " * 500]
+    raw, offsets = textkernel.string_buffer(pa.array(texts, pa.large_string()))
+
+    def counted():
+        out = []
+        for i, j in textkernel.blocks(offsets, textkernel.BLOCK_BYTES, 16):
+            out.append(language_id.features(raw, offsets, i, j)[1])
+        return np.concatenate(out)
+
+    whole = counted()
+    for t, row in zip(texts, whole):
+        assert Counter({k: int(n) for k, n in enumerate(row) if n}) == naive_counts(t)
+    monkeypatch.setattr(textkernel, "BLOCK_BYTES", 64)  # long rows are cut into segments
+    assert (counted() == whole).all()
+    model = language_id.Model.fit(whole[:40], [["aa", "bb", "cc"][k % 3] for k in range(40)])
+    got = model.distances(whole[:40])
+    for x, row in zip(whole[:40], got):
+        f = np.sqrt(x) / max(np.linalg.norm(np.sqrt(x)), 1e-9)
+        for lang in range(3):
+            want = sum(model.trust[lang][b] * np.exp(-model.code[lang][b] * (f @ model.weights[:, b] + model.bias[b])) for b in range(model.code.shape[1]))
+            assert abs(want - row[lang]) < 1e-4
+
+
+def test_language_ties_and_rare_names(spark, monkeypatch):
+    model = language_id.Model(["aa", "bb"], np.array([[1.0], [1.0]]), np.zeros((language_id.DIMENSIONS, 1), np.float32), np.zeros(1, np.float32), np.ones((2, 1)))
+    rows = language_id.identify(spark.createDataFrame([(1, "a text of letters", "bb")], "doc_id bigint, text string, lang string"), model).collect()
+    assert rows[0]["language"] == "aa" and rows[0]["ambiguous"] and rows[0]["margin"] == 0
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(k, f"text number {k}", "en" if k % 2 else "de") for k in range(20)] + [(99, "another", "x-odd")], "doc_id bigint, text string, lang string")
+    assert language_id.train(docs).languages == ["de", "en"]
+
+
+def test_words_of_very_long_rows():
+    count = lambda t: len(textkernel.words(*textkernel.string_buffer(pa.array([t], pa.large_string())), 0, 1).hash)
+    assert count("漢" * 400_000) == 400_000
+    assert count("a " * 500_000 + "b" * 100_000 + " c" * 300_000) == 800_001
+    assert count("x" * (3 << 20)) == 1
+    assert count("é" * (1 << 20) + " " + "naïve " * 10) == 11
+
+
 def test_language_odd(odd, none):
     rows = language_id.identify(odd).collect()
     assert len(rows) == len(odd_rows())
@@ -435,6 +494,132 @@ def test_at_and_dot_words_of_other_languages(spark, surface, normalized):
     assert [(r["kind"], r["surface"], r["normalized"]) for r in pii.detect(docs).collect()] == [("email", surface, normalized)]
 
 
+MEGABYTE = 1 << 20
+NEVER_ENDING = {
+    "spaces": " ", "digits": "7", "dots": ".", "ats": "@", "hyphens": "-", "invisible": "\u200b", "look-alikes": "\u0430", "chains of dots": "a dot ", "chains of at": "a at b dot c ", "brackets": "[ ", "in brackets": "[at] ",
+    "spelled": "one two ", "pairs": "11 ", "labels": "a.", "un": "un, ", "one and digits": "one 1", "triples": "123-", "parentheses": "(12) ",
+}
+
+
+@pytest.mark.parametrize("kind", NEVER_ENDING)
+def test_detection_is_linear(kind):
+    import time
+
+    piece = NEVER_ENDING[kind]
+    seconds = []
+    for size in (MEGABYTE // 8, MEGABYTE):
+        text = "x@" + piece * (size // len(piece))
+        began = time.process_time()
+        pii.findings(text)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 8 * 3 * max(seconds[0], 0.02)
+
+
+def naive(text, is_match, edge):
+    """Leftmost, then longest spans that is_match accepts and edge(before, after) allows; matches don't overlap."""
+    out, at = [], 0
+    while at < len(text):
+        ends = [e for e in range(len(text), at, -1) if edge(text[:at], text[e:]) and is_match(text[at:e])]
+        if ends:
+            out.append((at, ends[0]))
+            at = ends[0]
+        else:
+            at += 1
+    return out
+
+
+def naive_email(s):
+    local, at, host = s.partition("@")
+    labels = host.split(".")
+    ok = lambda x, chars: x and all(c.isascii() and (c.isalnum() or c in chars) for c in x)
+    return bool(at) and ok(local, "._%+-") and local[0].isalnum() and len(local) <= 64 and len(labels) > 1 and all(ok(x, "-") for x in labels[:-1]) and labels[-1].isalpha() and 2 <= len(labels[-1]) <= 24
+
+
+def naive_ip(s):
+    parts = s.split(".")
+    return len(parts) == 4 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 and (len(x) < 3 or x[0] != "0") for x in parts)
+
+
+def test_detectors_against_brute_force():
+    rng = random.Random(31)
+    mail = lambda b, a: not (b and (b[-1].isalnum() or b[-1] in "._%+-")) and not (a and (a[0].isalnum() or a[0] == "-"))
+    address = lambda b, a: not (b and b[-1] in "0123456789.") and not (a and (a[0].isdigit() or (a[0] == "." and a[1:2].isdigit())))
+    for _ in range(400):
+        text = "".join(rng.choice(["ab", "c", "@", ".", "de", " ", "-", "+"]) for _ in range(14))
+        assert [f[1:3] for f in pii.findings(text) if f[0] == "email"] == naive(text, naive_email, mail), text
+        text = "".join(rng.choice(["1", "25", "256", ".", ".", " ", "09"]) for _ in range(16))
+        assert [x.span() for x in dict((k, p) for k, p, _ in pii.DETECTORS)["ipv4"].finditer(text)] == naive(text, naive_ip, address), text
+
+
+def luhn_number(rng, n, first="4"):
+    body = first + "".join(rng.choices("0123456789", k=n - 2))
+    return next(body + d for d in "0123456789" if pii.luhn(body + d))
+
+
+def test_planted_identifiers_are_all_and_only_what_is_found(spark):
+    """Documents of innocent words and planted identifiers in random disguises: kind, span and normal form as planted."""
+    rng = random.Random(32)
+    word = lambda: rng.choice("river stone quiet evening letter garden window morning table bread".split())
+    look = {"a": "\u0430", "e": "\u0435", "o": "\u043e", "c": "\u0441", "p": "\u0440"}
+
+    def disguised(s):
+        return "".join(look.get(c, c) if rng.random() < 0.3 else c + ("\u200b" if rng.random() < 0.1 else "") for c in s).rstrip("\u200b")
+
+    def planted():
+        kind = rng.choice(["plain", "look", "words", "brackets", "card", "groups", "ip", "ssn", "digits"])
+        name, host, top = word(), word(), rng.choice(["org", "net", "info"])
+        mail = f"{name}@{host}.{top}"
+        if kind in ("plain", "look"):
+            return "email", mail if kind == "plain" else disguised(mail), mail
+        if kind == "words":
+            return "email", f"{name} at {host} dot {top}", mail
+        if kind == "brackets":
+            return "email", f"{name} [at] {host} (dot) {top}", mail
+        if kind == "card":
+            n = luhn_number(rng, 16)
+            return "card", n, n
+        if kind == "groups":
+            n, sep = luhn_number(rng, 16, "5"), rng.choice(" -")
+            cut = rng.choice([(5, 10), (4, 8, 12), (6, 11), (8,)])
+            n = sep.join(n[a:b] for a, b in zip((0, *cut), (*cut, 16)))
+            return "card", n, n
+        if kind == "ip":
+            n = ".".join(str(rng.randrange(256)) for _ in range(4))
+            return "ipv4", n, n
+        if kind == "ssn":
+            n = f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}"
+            return "ssn", n, n
+        d = [rng.randrange(10) for _ in range(7)]
+        d[0], d[1] = 1, 2
+        return "phone", "-".join(SPELLED["en"].split()[x] for x in d), "".join(map(str, d))
+
+    rows, want = [], Counter()
+    for k in range(300):
+        text = ""
+        for _ in range(rng.randrange(6)):
+            text += " ".join(word() for _ in range(rng.randint(1, 9))) + "; "
+            if rng.random() < 0.6:
+                kind, surface, normal = planted()
+                want[k, kind, len(text), len(text) + len(surface), surface, normal] += 1
+                text += surface + "; "
+        rows.append((k, text))
+    rows += [(None, "mail a@b.example.com"), (None, "none here")]
+    want[None, "email", 5, 20, "a@b.example.com", "a@b.example.com"] += 1
+    got = Counter(tuple(r) for r in pii.detect(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == want
+
+
+def test_every_look_alike_passes_the_prefilter(spark):
+    odd = [*pii._LOOK, *pii._GONE, "\u017f", "\u0130", "\u0131"]
+    df = spark.createDataFrame([(c,) for c in odd], "text string")
+    assert [r["text"] for r in df.filter(~pii.has_trace(F.col("text"))).collect()] == []
+
+
+@pytest.mark.parametrize(("text", "found"), [("jane at the-hub dot example dot org", "jane@the-hub.example.org"), ("jane at my dot site dot com", "jane@my.site.com"), ("we met at the dot com bubble", None), ("pay 41111 11111 111111 now", "41111 11111 111111"), ("3 4111 1111 1111 1111 of 20", "4111 1111 1111 1111")])
+def test_hosts_and_groupings(text, found):
+    assert [f[4] for f in pii.findings(text) if f[0] in ("email", "card")] == ([found] if found else [])
+
+
 # 10
 
 
