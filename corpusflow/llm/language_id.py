@@ -13,12 +13,16 @@ of ``CODE_TRIES`` random codes of 10 log2 k bits by smallest Hamming distance of
 codewords.  Everything is seeded and deterministic.
 
 Training rows: about ``ROWS_PER_LANGUAGE`` documents of each language, chosen by a hash of
-doc_id, with their whole texts; the fit takes their n-gram counts only.  Scoring is
+doc_id, with their whole texts; the fit takes their n-gram counts only.  A model has at
+most ``MAX_LANGUAGES`` languages, the commonest ones (a column of dirty names does not
+grow the driver's work); documents of others are scored like all.  Scoring is
 one narrow pass over all documents without a shuffle; a text of any length is
-scored whole.
+scored whole, n-grams across its segments included, and a row's result depends on
+nothing but its text.
 
 * null or empty text, or text without letters: language ``und``, ambiguous, null distance and margin
 * null or empty lang: not used for training; one language: always it; none: ``und``
+* empty table: empty result
 * null doc_id: scored like others; repeated rows: each has its own result
 * ties: the language whose name comes first; extra columns: not in the result
 """
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm import textkernel as tk
 
 ROWS_PER_LANGUAGE, DIMENSIONS, RIDGE, SEED = 300, 1 << 12, 0.05, 29
-AMBIGUOUS, MIN_LETTERS, CODE_TRIES = 0.1, 8, 64
+AMBIGUOUS, MIN_LETTERS, CODE_TRIES, MAX_LANGUAGES = 0.1, 8, 64, 256
 _BLOCK_DOCS = 256
 
 
@@ -65,26 +69,31 @@ def features(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.n
     counts = np.zeros(((j - i) * DIMENSIONS), dtype=np.int32)
     letters = np.zeros(j - i, dtype=np.int64)
     at, hi = int(offsets[i]), int(offsets[j])
+    carry, open_word = np.zeros(0, dtype=np.uint32), False  # of the segment before, if a row is cut
     while at < hi:
-        stop = min(hi, at + tk.BLOCK_BYTES)  # an n-gram across the cut of a row of over a block is not counted
+        stop = tk._segment_end(raw, at, hi)
         part = raw[at:stop]
         fold, mask, _ = tk._word_mask(part)
         mask &= ~tk.IS_DIGIT[part] & (part != 0x5F)
         row = np.searchsorted(offsets[i : j + 1], np.arange(at, stop), side="right") - 1 if j - i > 1 else np.zeros(stop - at, dtype=np.int64)
         letters += np.bincount(row[mask], minlength=j - i)
         keep = mask.copy()
-        keep[1:] |= mask[:-1]  # of a run of others the first
-        c, r = np.where(mask, fold, 32)[keep].astype(np.uint32), row[keep]
+        keep[1:] |= mask[:-1] & (row[1:] == row[:-1])  # of a run of others the first
+        keep[0] |= open_word
+        c = np.concatenate([carry, np.where(mask, fold, 32)[keep].astype(np.uint32)])
+        r = np.concatenate([np.zeros(len(carry), dtype=np.int64), row[keep]])
         for n in (1, 2, 3):
-            if len(c) < n:
+            first = max(0, len(carry) - n + 1)  # those within the carry have been counted
+            m = len(c) - n + 1
+            if m <= first:
                 continue
-            g = np.zeros(len(c) - n + 1, dtype=np.uint32)
+            g = np.zeros(m - first, dtype=np.uint32)
             for k in range(n):
-                g = (g << np.uint32(8)) | c[k : len(c) - n + 1 + k]
-            same = r[: len(g)] == r[n - 1 :]
+                g = (g << np.uint32(8)) | c[first + k : m + k]
+            same = r[first:m] == r[first + n - 1 :]
             h = (g * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(20)
-            counts += np.bincount((r[: len(g)] * DIMENSIONS + h)[same], minlength=len(counts)).astype(np.int32)
-        at = stop
+            counts += np.bincount((r[first:m] * DIMENSIONS + h)[same], minlength=len(counts)).astype(np.int32)
+        carry, open_word, at = c[-2:], bool(mask[-1]), stop
     return letters, counts.reshape(j - i, DIMENSIONS)
 
 
@@ -125,11 +134,11 @@ _SCHEMA = "doc_id bigint, lang string, letters bigint, language string, distance
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).filter("doc_id is not null and lang <> ''")
-    sizes = known.groupBy("lang").count().collect()  # a row for each language
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return None
     million = 1_000_000
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(million, -(-rows_per_language * million // r["count"])))) for r in sizes])
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(million, -(-rows_per_language * million // r["count"])))]), F.col("lang"))
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

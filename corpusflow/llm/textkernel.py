@@ -4,8 +4,8 @@ All content operators share one definition of a *word*: a maximal run of ASCII
 letters, digits, ``_`` and non-ASCII bytes, where Latin-1 symbols (U+0080-U+00BF
 without the letters), general punctuation (U+2000-U+207F) and CJK punctuation
 (U+3000-U+303F) separate words and each kana, Han or Hangul character starts a
-new one.  Case is folded for ASCII and Latin-1 letters.  A word longer than a
-block (1 MB without a separator) is cut at the block.
+new one.  Case is folded for ASCII and Latin-1 letters.  Rows of any length are
+processed in segments that end where a word ends; a word of any length is one word.
 
 Hashes are 64-bit: a polynomial over the folded bytes, computed for all words of
 a block at once from one prefix sum, then finalised with a bit mixer.
@@ -153,17 +153,25 @@ def _segment_words(seg: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray,
     return starts, ends, hashes
 
 
+def _segment_end(raw: np.ndarray, at: int, hi: int) -> int:
+    """Where a segment of about a block ends: before an ASCII byte that separates words, or a byte that leads a character which begins a word or separates; without any, at the end of the row."""
+    stop = at + BLOCK_BYTES
+    while stop < hi:
+        part = raw[stop : min(hi, stop + BLOCK_BYTES)]
+        cut = np.flatnonzero(~IS_WORD[part] | ((part >= 0xE3) & (part <= 0xED)))
+        if len(cut):
+            return stop + int(cut[0])
+        stop += len(part)
+    return hi
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, flags: bool = False) -> Words:
     """Words of rows i..j; with flags, also counts of capitals, lower-case letters and digits in each."""
     lo, hi = int(offsets[i]), int(offsets[j])
     starts, ends, hashes = [], [], []
     at = lo
     while at < hi:
-        stop = min(hi, at + BLOCK_BYTES)
-        if stop < hi:  # only a row of over a block is cut, where a word ends
-            tail = np.flatnonzero(raw[max(at, stop - 65536) : stop] <= 0x20)
-            if len(tail):
-                stop = max(at, stop - 65536) + int(tail[-1]) + 1
+        stop = _segment_end(raw, at, hi)  # only a row of over a block is cut
         rows = offsets[i:j]
         s, e, h = _segment_words(raw[at:stop], rows[(rows >= at) & (rows < stop)] - at)
         starts.append(s + at)
