@@ -31,6 +31,11 @@ class Document:
     def original(self) -> str:
         return self._original
 
+    def copy(self) -> Document:
+        out = Document(self.text, self.is_rejected, [Token(t.text, t.is_rejected, t.original) for t in self.tokens], dict(self.extras), dict(self.reject_reason))
+        out._original = self._original
+        return out
+
     def set_tokens(self, tokens: list[str]) -> None:
         self.tokens = [Token(t) for t in tokens]
 

@@ -27,7 +27,8 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """NFKC; ASCII is invariant and never leaves the JVM."""
-    return F.when(text.rlike("[^\\x00-\\x7F]"), _nfkc(text)).otherwise(text)
+    other = F.octet_length(text) != F.length(text)
+    return F.coalesce(_nfkc(F.when(other, text)), text)
 
 
 @F.pandas_udf(StringType())
@@ -40,7 +41,7 @@ def json_quoted(text: Column) -> Column:
     plain = F.to_json(F.array(text))
     native = F.substring(plain, F.lit(2), F.length(plain) - 2)
     # control characters without a short escape: lower-case hex digits; DEL and others are left as they are
-    return F.when(text.rlike("[\\x00-\\x07\\x0b\\x0e-\\x1f\\x7f]"), _json_quoted(text)).otherwise(native)
+    return F.coalesce(_json_quoted(F.when(text.rlike("[\\x00-\\x07\\x0b\\x0e-\\x1f\\x7f]"), text)), native)
 
 
 def json_object(pairs: list[tuple[str, Column]]) -> Column:

@@ -7,15 +7,14 @@ import json
 import logging
 import os
 import random
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable
+from contextlib import contextmanager
+from functools import partial
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import functions as F
-
 from corpusflow.functions.document import Document
-from corpusflow.plans.stage import Change, Stage, State
-from corpusflow.schema import EXTRAS
+from corpusflow.plans.stage import Change, Stage, State, in_python
 
 logger = logging.getLogger(__name__)
 
@@ -38,49 +37,48 @@ class AsyncFilter(Stage):
     async def close(self) -> None:
         """Called on the worker's loop after the last batch of a partition."""
 
-    async def _guarded(self, document: Document) -> tuple[Document, str | None]:
+    async def _guarded(self, documents: list[Document]) -> list[tuple[Document, str | None, int]]:
+        """A batch, or where it fails its documents one by one."""
+        began = time.perf_counter_ns()
+        copies = [d.copy() for d in documents]
         try:
-            return (await self.apply_batch([document]))[0], None
+            done = list(await self.apply_batch(documents)) if self.use_batch else [await self.apply(d) for d in documents]
+            if len(done) != len(documents):
+                raise ValueError(f"apply_batch gave {len(done)} documents for {len(documents)}")
+            return [(d, None, (time.perf_counter_ns() - began) // len(done)) for d in done]
         except Exception as e:
-            logger.exception("a document failed")
-            return document, f"{type(e).__name__}: {e}"
+            if len(documents) == 1:
+                logger.exception("a document failed")
+                return [(copies[0], f"{type(e).__name__}: {e}", time.perf_counter_ns() - began)]
+        alone = await asyncio.gather(*(self._guarded([d]) for d in copies))
+        return [x for (x,) in alone]
 
     def plan(self, s: State) -> Change:
-        stage = self
+        """Batches of an Arrow batch run together; with use_batch of up to batch_size documents, else of one."""
 
-        @F.pandas_udf(f"text string, is_rejected boolean, extras {EXTRAS}, error string")
-        def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        @contextmanager
+        def opened():
             with asyncio.Runner() as runner:
-                runner.run(stage.open())
+                runner.run(self.open())
                 try:
-                    for texts, rejected, extras, go in batches:
-                        docs = [Document(t, bool(r), extras={k: json.loads(v) for k, v in dict(e or {}).items()}) for t, r, e in zip(texts, rejected, extras)]
-                        wanted = [k for k, g in enumerate(go) if g and docs[k].text is not None]
-
-                        async def together(chosen: list[Document]) -> list[tuple[Document, str | None]]:
-                            return list(await asyncio.gather(*map(stage._guarded, chosen)))
-
-                        done = runner.run(together([docs[k] for k in wanted]))
-                        errors: list[str | None] = [None] * len(docs)
-                        for k, (d, error) in zip(wanted, done):
-                            docs[k], errors[k] = d, error
-                        yield pd.DataFrame(
-                            {"text": [d.text for d in docs], "is_rejected": [d.is_rejected for d in docs], "extras": [{k: json.dumps(v, ensure_ascii=False) for k, v in d.extras.items()} for d in docs], "error": errors}
-                        )
+                    yield lambda docs: runner.run(together(docs))
                 finally:
-                    runner.run(stage.close())
+                    runner.run(self.close())
+
+        async def together(docs: list[Document]) -> list[tuple[Document, str | None, int]]:
+            size = self.batch_size if self.use_batch else 1
+            parts = await asyncio.gather(*(self._guarded(docs[k : k + size]) for k in range(0, len(docs), size)))
+            return [x for part in parts for x in part]
 
-        go = ~s.is_rejected if self.skip_rejected else F.lit(True)
-        out = run(s.text, s.is_rejected, s.extras, go)
-        return Change(text=out["text"], reject=out["is_rejected"], extras=out["extras"], error=out["error"])
+        return in_python(s, opened)
 
 
-def _default_client(url: str, key: str, limit: int) -> Any:
+def _default_client(url: str, key: str, limit: int, timeout: float | None, connect_timeout: float) -> Any:
     try:
-        from openai import AsyncOpenAI
+        from openai import AsyncOpenAI, Timeout
     except ImportError as e:
         raise ImportError("this stage needs the openai package, or a client of your own") from e
-    return AsyncOpenAI(api_key=key, base_url=url, max_retries=0)
+    return AsyncOpenAI(api_key=key, base_url=url, max_retries=0, timeout=Timeout(timeout, connect=connect_timeout))
 
 
 def _one_message(document: Document) -> list[dict[str, str]]:
@@ -94,12 +92,15 @@ class AsyncChatAPI(AsyncFilter):
     ``chat.completions.create``; called in each worker.  The environment variables
     OPENAI_ENDPOINT_URL and OPENAI_API_KEY, where set, win over the arguments.  Failed
     requests are repeated, retry_count attempts in all, after random waits of up to
-    5 seconds.
+    5 seconds.  timeout: seconds for a whole attempt, connect_timeout: for the default
+    client's connection.  check_alive: ask the endpoint for the model before each
+    partition, so that a job against a dead one fails at once.
     """
 
     def __init__(
         self, model_id: str, *, output_key: str = "llm_output", max_concurrent_requests: int = 128, openai_endpoint_url: str | None = None, openai_api_key: str | None = None,
-        message_generator: Callable[[Document], Any] = _one_message, retry_count: int = 5, api_kwargs: dict[str, Any] | None = None, client: Callable[[str, str, int], Any] | None = None, max_wait: float = 5.0, **kwargs: Any,
+        message_generator: Callable[[Document], Any] = _one_message, retry_count: int = 5, api_kwargs: dict[str, Any] | None = None, client: Callable[[str, str, int], Any] | None = None, max_wait: float = 5.0,
+        timeout: float | None = 600.0, connect_timeout: float = 10.0, check_alive: bool | None = None, fetch: Callable[[str], dict[str, Any]] | None = None, **kwargs: Any,
     ) -> None:
         super().__init__(**kwargs)
         self.model_id = model_id
@@ -110,7 +111,10 @@ class AsyncChatAPI(AsyncFilter):
         self._messages = message_generator
         self._attempts = retry_count
         self._api_kwargs = dict(api_kwargs or {})
-        self._make = client or _default_client
+        self._make = client or partial(_default_client, timeout=timeout, connect_timeout=connect_timeout)
+        self._timeout = timeout
+        self._check = check_alive if check_alive is not None else client is None
+        self._fetch = fetch
         self._max_wait = max_wait
         self._client: Any = None
         self._gate: asyncio.Semaphore | None = None
@@ -119,6 +123,8 @@ class AsyncChatAPI(AsyncFilter):
         return vars(self) | {"_client": None, "_gate": None}
 
     async def open(self) -> None:
+        if self._check:
+            await asyncio.to_thread(check_api_alive, self._url, self.model_id, self._fetch)
         self._client, self._gate = self._make(self._url, self._key, self._limit), asyncio.Semaphore(self._limit)
 
     async def close(self) -> None:
@@ -130,7 +136,7 @@ class AsyncChatAPI(AsyncFilter):
         for attempt in range(1, self._attempts + 1):
             try:
                 async with self._gate:
-                    return await self._client.chat.completions.create(model=self.model_id, messages=self._messages(document), **self._api_kwargs)
+                    return await asyncio.wait_for(self._client.chat.completions.create(model=self.model_id, messages=self._messages(document), **self._api_kwargs), self._timeout)
             except Exception as e:
                 if attempt == self._attempts:
                     raise

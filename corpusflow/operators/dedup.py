@@ -135,7 +135,7 @@ class GenerateDedupLSH(Stage):
         def run(texts: pd.Series) -> pd.Series:
             return texts.map(lambda x: None if x is None else json.dumps(keys(x)))
 
-        return Change(new_extras=F.create_map(F.lit(KEY), run(s.text)).cast(EXTRAS))
+        return Change(new_extras=F.create_map(F.lit(KEY), run(s.wanted)).cast(EXTRAS))
 
 
 def exploded(docs: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ class JSONLoader(Stage):
             rows = [parse(x, key, extra_keys) if x is not None else (None, {}, "no text") for x in lines]
             return pd.DataFrame(rows, columns=["text", "extras", "error"])
 
-        out = load(s.text)
+        out = load(s.wanted)
         return self._change(out["text"], out["extras"], out["error"])
 
     def _change(self, text, extras, error) -> Change:

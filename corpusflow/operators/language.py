@@ -31,10 +31,13 @@ class LanguageIdentificationByFastText(Stage):
         @F.pandas_udf("boolean")
         def reject(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                found = predictor([(t or "").strip().replace("\n", " ") for t in texts])
-                yield pd.Series([not (name == language and score >= least) for name, score in found])
+                at = [k for k, t in enumerate(texts) if t is not None]
+                found = predictor([texts[k].strip().replace("\n", " ") for k in at]) if at else []
+                out = pd.Series([None] * len(texts), dtype=object)  # a null text is kept, as in other stages
+                out[at] = [not (name == language and score >= least) for name, score in found]
+                yield out
 
-        return Change(reject=reject(s.text))
+        return Change(reject=reject(s.wanted))
 
 
 class AcceptJapaneseByFastText(LanguageIdentificationByFastText):

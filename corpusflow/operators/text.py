@@ -43,10 +43,10 @@ class Sleep(Stage):
         def wait(texts: pd.Series) -> pd.Series:
             import time
 
-            time.sleep(seconds * len(texts))
+            time.sleep(seconds * texts.notna().sum())
             return texts
 
-        return Change(text=wait(s.text))
+        return Change(text=wait(s.wanted))
 
 
 class ApplyDiscard(Stage):
@@ -60,7 +60,7 @@ class DocumentNormalizer(Stage):
     """Unicode NFKC."""
 
     def plan(self, s: State) -> Change:
-        return Change(text=nfkc(s.text))
+        return Change(text=nfkc(s.wanted))
 
 
 _SEPARATOR = "[- ]?"

@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from corpusflow.functions.document import Document, Token
 from corpusflow.functions.text import json_quoted_native, merged
 from corpusflow.plans.stage import Change, GlobalStage, Stage, State
-from corpusflow.plans.stats import COUNTERS, Statistics
+from corpusflow.plans.stats import COUNTERS, TIME, Statistics
 from corpusflow.schema import EXTRAS, as_documents, empty_map
 
 _SCALE = 1 << 53
-_META = "_m"
+#: names of our own that no column of a user has
+_OWN = "__corpusflow_"
+_META = f"{_OWN}m_"
 
 
 class Pipeline(Stage):
@@ -84,60 +86,65 @@ class Pipeline(Stage):
 
     def _apply(self, df: DataFrame, k: int, stage: Stage, metrics: bool) -> DataFrame:
         cols = set(df.columns)
-        state = State(F.col("text"), F.col("is_rejected"), F.col("extras"), F.col("reject_reason"), F.col("tokens") if "tokens" in cols else None, F.col("original"))
         go = self._guard(df, k, stage)
         if isinstance(stage, GlobalStage):
             df, change = self._global(df, stage, go)
-        else:
-            change = stage.plan(state)
-        error = change.error if change.error is not None else None
-        failed = F.coalesce(go & error.isNotNull(), F.lit(False)) if error is not None else None
-        # computed once, next to the state: later references are to this column
-        fresh: dict[str, Column] = {"_go": go}
+        df = df.withColumn(f"{_OWN}go", go)
+        go = F.col(f"{_OWN}go")
+        if not isinstance(stage, GlobalStage):
+            change = stage.plan(State(F.col("text"), F.col("is_rejected"), F.col("extras"), F.col("reject_reason"), F.col("tokens") if "tokens" in cols else None, F.col("original"), go))
+        fresh: dict[str, Column] = {}
         if change.text is not None:
-            fresh["_text"] = change.text
+            fresh["text"] = change.text
         if change.reject is not None:
-            fresh["_reject"] = F.coalesce(change.reject, F.lit(False))
+            fresh["reject"] = F.coalesce(change.reject, F.lit(False))
         if change.extras is not None:
-            fresh["_extras"] = change.extras
+            fresh["extras"] = change.extras
         if change.new_extras is not None:
-            fresh["_new_extras"] = F.coalesce(change.new_extras, empty_map())
+            fresh["new_extras"] = F.coalesce(change.new_extras, empty_map())
         if change.tokens is not None:
-            fresh["_tokens"] = change.tokens
-        if failed is not None:
-            fresh["_error"] = F.when(failed, error)
-        df = df.withColumns(fresh)
-        go = F.col("_go")
-        bad = F.col("_error").isNotNull() if failed is not None else F.lit(False)
-        if failed is not None and self._on_error == "raise":
-            df = df.withColumn("_go", F.when(bad, F.raise_error(F.concat(F.lit(f"{stage.name}: "), F.col("_error"))).cast("boolean")).otherwise(go))
+            fresh["tokens"] = change.tokens
+        if change.error is not None:
+            fresh["error"] = F.when(go, change.error)
+        if change.ns is not None:
+            fresh["ns"] = change.ns
+        df = df.withColumns({_OWN + n: c for n, c in fresh.items()})
+        own = {n: F.col(_OWN + n) for n in fresh}
+        failed = change.error is not None
+        bad = own["error"].isNotNull() if failed else F.lit(False)
+        if failed and self._on_error == "raise":
+            go = F.when(bad, F.raise_error(F.concat(F.lit(f"{stage.name}: "), own["error"])).cast("boolean")).otherwise(go)
+        done = go & ~bad
         new: dict[str, Column] = {}
-        text = F.when(go & ~bad, F.col("_text")).otherwise(F.col("text")) if change.text is not None else F.col("text")
+        text = F.when(done, own["text"]).otherwise(F.col("text")) if change.text is not None else F.col("text")
         if change.text is not None:
             new["text"] = text
         rejected = F.col("is_rejected")
-        if change.reject is not None or failed is not None:
-            rejects = (F.col("_reject") if change.reject is not None else F.lit(False)) | bad
+        if change.reject is not None or failed:
+            rejects = own.get("reject", F.lit(False)) | bad
             rejected = rejected | (go & rejects)
             new["is_rejected"] = rejected
             turned = rejected & ~F.col("is_rejected")
-            new["reject_reason"] = F.when(turned & bad, F.create_map(F.lit("error"), json_quoted_native(F.coalesce(F.col("_error") if failed is not None else F.lit(""), F.lit(""))))).when(turned, _reason(stage, change)).otherwise(F.col("reject_reason"))
+            error = json_quoted_native(F.coalesce(own["error"], F.lit(""))) if failed else F.lit('""')
+            new["reject_reason"] = F.when(turned & bad, F.create_map(F.lit("error"), error)).when(turned, _reason(stage, change)).otherwise(F.col("reject_reason"))
         if change.extras is not None:
-            new["extras"] = F.when(go & ~bad, F.col("_extras")).otherwise(F.col("extras"))
+            new["extras"] = F.when(done, own["extras"]).otherwise(F.col("extras"))
         if change.new_extras is not None:
-            new["extras"] = F.when(go & ~bad, merged(F.col("extras"), F.col("_new_extras"))).otherwise(F.col("extras"))
+            new["extras"] = F.when(done, merged(F.col("extras"), own["new_extras"])).otherwise(F.col("extras"))
         if change.tokens is not None:
-            new["tokens"] = F.when(go & ~bad, F.col("_tokens")).otherwise(F.col("tokens"))
+            new["tokens"] = F.when(done, own["tokens"]).otherwise(F.col("tokens"))
         if metrics:
-            new[f"{_META}{k}"] = F.struct(_info(F.col("text"), F.col("is_rejected")).alias("before"), _info(text, rejected).alias("after"), bad.alias("error"))
-        return df.withColumns(new).drop(*fresh, "_v_reject", "new_extras")
+            new[f"{_META}{k}"] = F.struct(_info(F.col("text"), F.col("is_rejected")).alias("before"), _info(text, rejected).alias("after"), bad.alias("error"), F.coalesce(own.get("ns", F.lit(0)), F.lit(0)).cast("bigint").alias("ns"))
+        return _settled(df, new)
 
     def _global(self, df: DataFrame, stage: GlobalStage, go: Column) -> tuple[DataFrame, Change]:
         if "doc_id" not in df.columns:
             raise ValueError(f"{stage.name} needs a doc_id (transform(..., id_col=...))")
-        found = stage.verdicts(df.filter(go)).withColumnRenamed("doc_id", "_v_id")
-        df = df.join(found, F.col("doc_id") == F.col("_v_id"), "left").drop("_v_id").withColumnRenamed("reject", "_v_reject")
-        return df, Change(reject=F.col("_v_reject"), new_extras=F.col("new_extras") if "new_extras" in found.columns else None)
+        found = stage.verdicts(df.filter(go))
+        more = "new_extras" in found.columns
+        found = found.select(F.col("doc_id").alias(f"{_OWN}id"), F.col("reject").alias(f"{_OWN}v_reject"), *([F.col("new_extras").alias(f"{_OWN}v_extras")] if more else []))
+        df = df.join(found, F.col("doc_id") == F.col(f"{_OWN}id"), "left")
+        return df, Change(reject=F.col(f"{_OWN}v_reject"), new_extras=F.col(f"{_OWN}v_extras") if more else None)
 
     # results
 
@@ -146,12 +153,17 @@ class Pipeline(Stage):
         out = self.transform(df, id_col=id_col).filter(~F.col("is_rejected"))
         return out.select(*df.columns)
 
-    def statistics(self, df: DataFrame, *, id_col: str | None = None) -> DataFrame:
-        """A row for Total and one for each stage: one pass, one aggregation of counters."""
-        return statistics_of(self.transform(df, metrics=True, id_col=id_col), [s.name for s in self.stages])
+    def statistics(self, df: DataFrame, *, id_col: str | None = None, time: bool = False) -> DataFrame:
+        """A row for Total and one for each stage: one pass, one aggregation of counters.
+
+        time: also cumulative_time_ns, what stages written in Python took in all tasks
+        together.  Those of column expressions are fused by Spark, so they have no time
+        of their own and count as 0.
+        """
+        return statistics_of(self.transform(df, metrics=True, id_col=id_col), [s.name for s in self.stages], (*COUNTERS, TIME) if time else COUNTERS)
 
     def get_statistics(self, df: DataFrame) -> list[Statistics]:
-        rows = {r["name"]: r for r in self.statistics(df).collect()}  # as many rows as stages
+        rows = {r["name"]: r for r in self.statistics(df, time=True).collect()}  # as many rows as stages
         return [Statistics(**rows[n].asDict()) for n in ["Total", *[s.name for s in self.stages]]]
 
     def observed(self, df: DataFrame, *, id_col: str | None = None):
@@ -167,7 +179,7 @@ class Pipeline(Stage):
     def observed_statistics(self, seen: dict[str, int]) -> list[Statistics]:
         """What an Observation of ``observed`` counted."""
         names = ["Total", *[s.name for s in self.stages]]
-        return [Statistics(n, **{c: seen[f"{p}{c}"] for c in COUNTERS}) for n, p in zip(names, ["t_", *[f"s{k}_" for k in range(len(self.stages))]])]
+        return [Statistics(n, **{c: seen[f"{p}{c}"] for c in (*COUNTERS, TIME)}) for n, p in zip(names, ["t_", *[f"s{k}_" for k in range(len(self.stages))]])]
 
     def summary(self, format: str = "print") -> Any:  # noqa: A002
         rows = [{"name": s.name, "doc": (type(s).__doc__ or "").strip()} for s in self.stages]
@@ -190,6 +202,21 @@ class Pipeline(Stage):
             s.shutdown()
 
 
+def _settled(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """df with new columns, and without those of our own.
+
+    The new columns come out of a generator of one row: Catalyst neither merges it with
+    the projections of later stages nor pushes filters through it, both of which would
+    copy the expressions of this stage into each place that uses its columns, stage
+    after stage.  So each is computed once.
+    """
+    own = [c for c in df.columns if c.startswith(_OWN) and not c.startswith(_META)]
+    if not new:
+        return df.drop(*own)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in own and c not in new]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))))
+
+
 def _info(text: Column, rejected: Column) -> Column:
     return F.struct(rejected.alias("rejected"), F.octet_length(text).cast("bigint").alias("bytes"), F.length(text).cast("bigint").alias("chars"))
 
@@ -200,7 +227,7 @@ def _reason(stage: Stage, change: Change) -> Column:
     return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]).cast(EXTRAS)
 
 
-def _counter_sums(prefix: str, before: Column, after: Column, error: Column) -> list[Column]:
+def _counter_sums(prefix: str, before: Column, after: Column, error: Column, ns: Column | None = None) -> list[Column]:
     gone = ~before["rejected"] & after["rejected"]
     ok = ~error
 
@@ -213,21 +240,22 @@ def _counter_sums(prefix: str, before: Column, after: Column, error: Column) ->
     out += [total(ok & gone, one, "discard_num")]
     for x in ("bytes", "chars"):
         out.append(total(ok, F.when(gone, -before[x]).otherwise(after[x] - before[x]), f"diff_{x}"))
-    return [*out, total(error, one, "errors")]
+    return [*out, total(error, one, "errors"), total(F.lit(True), ns if ns is not None else F.lit(0).cast("bigint"), TIME)]
 
 
 def _sums(names: list[str]) -> list[Column]:
     last = F.struct(F.col("is_rejected").alias("rejected"), F.octet_length("text").cast("bigint").alias("bytes"), F.length("text").cast("bigint").alias("chars"))
-    out = _counter_sums("t_", F.col(f"{_META}in"), last, F.lit(False))
+    spent = sum((F.col(f"{_META}{k}")["ns"] for k in range(len(names))), F.lit(0).cast("bigint"))
+    out = _counter_sums("t_", F.col(f"{_META}in"), last, F.lit(False), spent)
     for k in range(len(names)):
         m = F.col(f"{_META}{k}")
-        out += _counter_sums(f"s{k}_", m["before"], m["after"], m["error"])
+        out += _counter_sums(f"s{k}_", m["before"], m["after"], m["error"], m["ns"])
     return out
 
 
-def statistics_of(df: DataFrame, names: list[str]) -> DataFrame:
+def statistics_of(df: DataFrame, names: list[str], counters: Sequence[str] = COUNTERS) -> DataFrame:
     wide = df.agg(*_sums(names))
-    rows = [F.struct(F.lit(n).alias("name"), *[F.col(f"{p}{c}").alias(c) for c in COUNTERS]) for n, p in [("Total", "t_"), *[(n, f"s{k}_") for k, n in enumerate(names)]]]
+    rows = [F.struct(F.lit(n).alias("name"), *[F.col(f"{p}{c}").alias(c) for c in counters]) for n, p in [("Total", "t_"), *[(n, f"s{k}_") for k, n in enumerate(names)]]]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, nullcontext
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,8 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.document import Document
-from corpusflow.schema import EXTRAS
+from corpusflow.functions.document import Document, Token
+from corpusflow.schema import EXTRAS, TOKENS
 
 logger = logging.getLogger(__name__)
 
@@ -33,6 +35,13 @@ class State:
     reject_reason: Column
     tokens: Column | None
     original: Column
+    #: whether the stage is applied to this document (not skipped, and in the sample)
+    go: Column | None = None
+
+    @property
+    def wanted(self) -> Column:
+        """The text for functions in Python: null where the stage isn't applied, so that nothing is computed there."""
+        return self.text if self.go is None else F.when(self.go, self.text)
 
 
 @dataclass
@@ -41,7 +50,8 @@ class Change:
 
     reject: true rejects (null counts as false).  new_extras: entries that are merged into
     extras (a null map: none).  reason: more entries for the reason of
-    a rejection (JSON text).  error: not null where the stage failed.
+    a rejection (JSON text).  error: not null where the stage failed.  ns: nanoseconds
+    that the stage took in Python.
     """
 
     text: Column | None = None
@@ -51,13 +61,14 @@ class Change:
     tokens: Column | None = None
     reason: dict[str, Column] | None = None
     error: Column | None = None
+    ns: Column | None = None
 
 
 class Stage:
     """p: share of documents it is applied to, by a hash of doc_id; skip_rejected: leave rejected documents alone.
 
-    use_batch and batch_size are accepted and recorded in reasons; Spark batches rows
-    by itself.
+    use_batch, batch_size: stages written in Python get lists of up to so many documents
+    (see Filter); others take columns, and only record them in reasons.
     """
 
     uses_tokens = False
@@ -111,9 +122,12 @@ class GlobalStage(Stage):
 
 
 class Filter(Stage):
-    """A stage written in Python: override ``apply`` (one document) or ``apply_batch`` (a list).
+    """A stage written in Python: override ``apply`` (one document), or ``apply_batch`` (a list) and set use_batch.
 
-    Rows travel in Arrow batches; use built-in stages where there is one.  An exception
+    It gets the documents that pass the guard only, with their tokens (if a stage of
+    the pipeline makes any), extras and reasons.  With use_batch they come in lists of up to
+    batch_size, cut from Arrow batches; if a list fails, its documents are
+    tried one by one, so that only those that fail themselves have an error.  An error
     rejects the document or fails the job, as the pipeline's on_error says.
     """
 
@@ -123,41 +137,72 @@ class Filter(Stage):
     def apply_batch(self, batch: list[Document]) -> list[Document]:
         return [self.apply(d) for d in batch]
 
+    def _run(self, docs: list[Document]) -> list[tuple[Document, str | None, int]]:
+        """(document, error, nanoseconds) of each."""
+        if not self.use_batch:
+            return [self._one(d, self.apply) for d in docs]
+        out: list[tuple[Document, str | None, int]] = []
+        for k in range(0, len(docs), self.batch_size):
+            part = docs[k : k + self.batch_size]
+            copies = [d.copy() for d in part]
+            began = time.perf_counter_ns()
+            try:
+                done = list(self.apply_batch(part))
+                if len(done) != len(part):
+                    raise ValueError(f"apply_batch gave {len(done)} documents for {len(part)}")
+                share = (time.perf_counter_ns() - began) // len(part)
+                out += [(d, None, share) for d in done]
+            except Exception:
+                if len(part) > 1:
+                    logger.exception("a batch failed; its documents are tried one by one")
+                out += [self._one(d, lambda x: self.apply_batch([x])[0]) for d in copies]
+        return out
+
+    def _one(self, document: Document, apply: Callable[[Document], Document]) -> tuple[Document, str | None, int]:
+        began = time.perf_counter_ns()
+        try:
+            document, error = apply(document), None
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            logger.exception("a document failed")
+        return document, error, time.perf_counter_ns() - began
+
     def plan(self, s: State) -> Change:
-        run = document_udf(self)
-        out = run(s.text, s.is_rejected, s.extras)
-        return Change(text=out["text"], reject=out["is_rejected"], extras=out["extras"], error=out["error"])
+        return in_python(s, lambda: nullcontext(self._run))
 
 
-def _values(extras: Any) -> dict[str, Any]:
-    items = extras.items() if isinstance(extras, dict) else (extras if extras is not None else ())
+def _values(entries: Any) -> dict[str, Any]:
+    items = entries.items() if isinstance(entries, dict) else (entries if entries is not None else ())
     return {k: json.loads(v) if v is not None else None for k, v in items}
 
 
-def document_udf(stage: Any, batched: bool | None = None) -> Callable[..., Column]:
-    """A function of (text, is_rejected, extras) that gives struct(text, is_rejected, extras, error)."""
-    batched = stage.use_batch if batched is None else batched
-
-    @F.pandas_udf(f"text string, is_rejected boolean, extras {EXTRAS}, error string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, rejected, extras in batches:
-            docs = [Document(t, bool(r), extras=_values(e)) for t, r, e in zip(texts, rejected, extras)]
-            errors: list[str | None] = [None] * len(docs)
-            for k, d in enumerate(docs):
-                if d.text is None:
-                    continue
-                try:
-                    docs[k] = stage.apply_batch([d])[0] if batched else stage.apply(d)
-                except Exception as e:
-                    errors[k] = f"{type(e).__name__}: {e}"
-                    logger.exception("a document failed")
-            yield pd.DataFrame(
-                {
-                    "text": [d.text for d in docs],
-                    "is_rejected": [d.is_rejected for d in docs],
-                    "extras": [{k: json.dumps(v, ensure_ascii=False) for k, v in d.extras.items()} for d in docs],
-                    "error": errors,
-                }
-            )
-
-    return run
+Runner = Callable[[list[Document]], list[tuple[Document, str | None, int]]]
+
+
+def in_python(s: State, opened: Callable[[], AbstractContextManager[Runner]]) -> Change:
+    """The change by a function of lists of documents.  opened: makes a context for each partition, which gives the function."""
+    tokens = [s.tokens] if s.tokens is not None else []
+    schema = f"text string, is_rejected boolean, extras {EXTRAS}, error string, ns bigint" + (f", tokens {TOKENS}" if tokens else "")
+
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        with opened() as each:
+            for go, texts, rejected, extras, reasons, originals, *rest in batches:
+                out: dict[str, list] = {k: [None] * len(texts) for k in ("text", "is_rejected", "extras", "error", "ns", *(["tokens"] if rest else []))}
+                at = [k for k, (g, t) in enumerate(zip(go, texts)) if g and t is not None]
+                docs = []
+                for k in at:
+                    d = Document(texts[k], bool(rejected[k]), extras=_values(extras[k]), reject_reason=_values(reasons[k]))
+                    d._original = originals[k]
+                    if rest:
+                        d.tokens = [Token(t["text"], t["is_rejected"], t["original"]) for t in (rest[0][k] if rest[0][k] is not None else ())]
+                    docs.append(d)
+                for k, (d, error, ns) in zip(at, each(docs) if docs else ()):
+                    out["text"][k], out["is_rejected"][k], out["error"][k], out["ns"][k] = d.text, d.is_rejected, error, ns
+                    out["extras"][k] = {n: json.dumps(v, ensure_ascii=False) for n, v in d.extras.items()}
+                    if rest:
+                        out["tokens"][k] = [{"text": t.text, "original": t.original, "is_rejected": t.is_rejected} for t in d.tokens]
+                yield pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()}).astype({"ns": "Int64"})
+
+    out = run(s.go if s.go is not None else F.lit(True), s.text, s.is_rejected, s.extras, s.reject_reason, s.original, *tokens)
+    return Change(text=F.coalesce(out["text"], s.text), reject=out["is_rejected"], extras=F.coalesce(out["extras"], s.extras), tokens=F.coalesce(out["tokens"], s.tokens) if tokens else None, error=out["error"], ns=out["ns"])

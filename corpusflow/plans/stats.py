@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from dataclasses import dataclass, fields
+from dataclasses import asdict, dataclass, fields
 from functools import reduce
 from typing import Any
 
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 COUNTERS = ("input_num", "input_bytes", "input_chars", "output_num", "output_bytes", "output_chars", "discard_num", "diff_bytes", "diff_chars", "errors")
 
 
+TIME = "cumulative_time_ns"
+
+
 @dataclass
 class Statistics:
     name: str | None = None
@@ -30,7 +33,7 @@ class Statistics:
     errors: int = 0
 
     def to_dict(self) -> dict[str, Any]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return asdict(self)
 
     def update(self, other: Statistics) -> None:
         for f in fields(self)[1:]:
