@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,10 +39,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that are no longer referenced: it does so when the driver collects garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: so many ids (16 bytes each as a hash table) at most are sent to all tasks
+SENT_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined with a table of doc_ids (``left_semi`` or ``left_anti``): no text moves where the ids, counted first, are few; else a hash join on doc_id."""
+    ids = stored(ids.select("doc_id").distinct(), "ids")
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", how).select(docs.columns)
+
+
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of these names only, whatever other columns there are; one that differs in case only is another column."""
+    have = df.columns
+    if len({c.lower() for c in have}) < len(have):
+        taken: set[str] = set()
+        new = []
+        for k, c in enumerate(have):
+            new.append(c if c in names and c not in taken else f"extra {k}")
+            taken.add(c)
+        df = df.toDF(*new)
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in names])
+
+
 def document_columns(docs: DataFrame) -> DataFrame:
     """Exactly the columns of documents; extra ones go."""
-    return docs.select(*[F.col(f"`{c}`") for c in DOCUMENT_COLUMNS])
+    return picked(docs, *DOCUMENT_COLUMNS)

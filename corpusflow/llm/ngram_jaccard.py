@@ -1,41 +1,45 @@
-"""Self-join of documents by the Jaccard similarity of their word n-gram sets.
+"""Self-join of documents by the Jaccard similarity of their word n-gram sets, exact for sets of any size.
 
 Every document is a query; every pair of documents with similarity of at least
-``threshold`` is sought, and the similarity reported is exact.
+``threshold`` is found.  ``classes`` reports a row for each document (its class and
+the number of its links), ``join`` the pairs themselves.
 
 1. A document's set is its distinct n-gram hashes.  Equal sets are one *node*;
    their documents are joined back at the end, so copies cost nothing before.
-2. Candidates.  A node's sketch is its ``SKETCH`` smallest hashes (the whole set, if
-   that is smaller).  Over all nodes the number of sketches that hold each hash is
-   counted, and sketches are put in the global order (count, hash), rarest first.
-   Two similar nodes share at least c hashes of their sketches, so they share one of
-   the first len - c + 1 of each (prefix filter); only these are indexed, and of
-   these only hashes that some other node has.  c is ceil(threshold * size) where
-   that is below ``MIN_SHARED``, which makes the join exact for pairs of sets of up to
-   SKETCH hashes; for larger sets a pair at the threshold has fewer than MIN_SHARED in
-   common with a probability of at most about 1e-3 (binomial; SKETCH = 32, threshold
-   0.5, one set half of the other), much less at higher similarity: recall is not
-   below 0.998 in expectation.
-3. Index-level skipping.  The list of a hash is cut into blocks by position.  Two
-   nodes whose first shared hash has positions i and j share at most
-   1 + min(len_x - i, len_y - j) - 1 hashes, so whole pairs of blocks are skipped; in
-   the others, sorted by set size, the size filter is a range.  A pair is reported
-   only from its first shared hash, so no pair comes twice.  Lists of over
-   ``LIST_ROWS`` are cut into parts and each pair of parts is a task of its own:
-   nothing is capped.
-4. Answer-level skipping.  Candidates are verified in groups, the sets of a group
+2. Global order.  How many documents have each n-gram is counted over all documents.
+   A block of documents sends its n-grams, packed, to the tasks that count them, one
+   entry for each n-gram that ``LOCAL`` or more of its documents have (a hot n-gram is
+   aggregated before the shuffle) and gets back those that another document
+   has, with their counts; most n-grams occur once and go no further.  N-grams are put
+   in the order (count, hash), rarest first.
+3. Prefix filter.  Two nodes x, y at the threshold t share at least
+   t / (1 + t) * (|x| + |y|) n-grams, so they share one of the first
+   |x| - ceil(t |x|) + 1 of x and of y; only these are indexed, and of these only
+   n-grams that another document has.  No sketch, no sample: nothing is lost.
+4. Index-level skipping.  The list of an n-gram is sorted by set size, so the size filter is a range
+   of it, and the range is cut into blocks of ``BLOCK`` places.  A pair whose first
+   shared n-gram is at positions i and j shares at most min(|x| - i, |y| - j), so
+   entries, and whole blocks by their largest rest, are skipped by position.
+   Lists that near copies share go to one task (that of their smallest node), which
+   reports a pair once however many n-grams it shares.  Lists of over ``LIST_ROWS``
+   are cut into parts and each pair of parts is a task of its own: nothing is capped.
+5. Answer-level skipping.  Candidates are verified in groups, the sets of a group
    shipped once.  The group's leader L is intersected with each set x once; what
    x and L don't share is x's difference.  The overlap of two sets x, y then follows
    from the leader's answers and the differences alone:
    |x & y| = |L| - |L-x| - |L-y| + |(L-x) & (L-y)| + |(x-L) & (y-L)|.
 
-Shuffled: sketches (hashes, not text), candidates, and the text of documents once,
-to rebuild the sets of the nodes that have candidates.
+Shuffled: n-gram hashes (packed), the index, candidates, and the text of the documents
+that have candidates, to rebuild their sets.  A block is named by its contents, and its
+replies are counted: should a lost executor's input come back in another order, the job
+fails rather than lose an n-gram.
 
-* null doc_id, null text, text without words: in no pair
+* null doc_id: in no pair, not in ``classes``
+* null text, text without words: in no pair; in ``classes`` a class of its own without links
+* empty table: empty result; very long texts: as any other
 * 1 to n-1 words: one n-gram of all words
 * repeated rows: a doc_id is not paired with itself; a doc_id with several texts is
-  in the pairs of each
+  in the pairs of each, and has a row for each in ``classes``
 * ties: a pair at exactly the threshold is in; extra columns: not in the result
 """
 
@@ -50,12 +54,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import textkernel as tk
-from corpusflow.llm._common import stored
+from corpusflow.llm._common import SENT_IDS, picked, release_shuffles, stored
 
 N, THRESHOLD = 3, 0.5
-SKETCH, MIN_SHARED = 32, 8
-LIST_ROWS = 4096
-_PAIRS_AT_ONCE = 16384
+#: n-grams that this many documents of a block have are sent once for the block
+LOCAL = 8
+#: n-gram entries that a counting task should get
+COUNTED = 2_000_000
+LIST_ROWS, BLOCK = 1024, 64
+#: so many nodes that have candidates (some 60 bytes each) are sent to the texts; beyond, they meet in a shuffle
+SENT_NODES = SENT_IDS // 5
+_ROWS_AT_ONCE, _PAIRS_AT_ONCE = 200_000, 2_000_000
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -69,28 +78,141 @@ def _int64(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node, size and sketch of the documents that have words."""
+def sizes(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, node and size; of documents without words node is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
             raw, offsets = tk.string_buffer(b.column(1))
             for i, j in tk.blocks(offsets):
                 sets = tk.shingle_sets(raw, offsets, i, j, n)
-                at = [k for k, s in enumerate(sets) if len(s)]
+                size = np.array([len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[i + k] for k in at], pa.int64()),
-                        pa.array([node_of(sets[k]) for k in at], pa.int64()),
-                        pa.array([len(sets[k]) for k in at], pa.int32()),
-                        pa.array([_int64(sets[k][:SKETCH]) for k in at], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "node", "size", "sketch"],
+                    [b.column(0).slice(i, j - i), pa.array([node_of(s) for s in sets], pa.int64(), mask=size == 0), pa.array(size, pa.int32())], names=["doc_id", "node", "size"]
                 )
 
-    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text")).filter("doc_id is not null and text is not null")
-    return source.mapInArrow(run, "doc_id bigint, node bigint, size int, sketch array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).filter("doc_id is not null").mapInArrow(run, "doc_id bigint, node bigint, size int")
+
+
+_PACKET = "to int, block bigint, packets int, tok binary, idx binary, many binary, n binary"
+
+
+def _packed(to, block, packets, tok, idx, many, n) -> pa.RecordBatch:
+    cells = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (tok, idx, many, n)]
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(block, pa.int64()), pa.array(packets, pa.int32()), *cells], names=["to", "block", "packets", "tok", "idx", "many", "n"])
+
+
+#: n-grams travel as 48 bits of their hash.  Where two n-grams share these, they count as one in the order, which the prefix filter allows; overlaps are of the whole hashes.
+_BITS = np.uint64((1 << 48) - 1)
+
+
+def _six(tok: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(tok).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def packets(docs: DataFrame, n: int, parts: int) -> DataFrame:
+    """The n-grams of blocks of documents.  To each counting task: tok, idx (entries of rare n-grams, and whose they are), many and n (n-grams that LOCAL or more have, and how many).
+
+    To none (to = -1), for the block's owner: nodes, sizes, and the n-grams of many with whose they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offsets = tk.string_buffer(b.column(0))
+            for i, j in tk.blocks(offsets):
+                sets = [s for s in tk.shingle_sets(raw, offsets, i, j, n) if len(s)]
+                if not sets:
+                    continue
+                size = np.array([len(s) for s in sets], dtype=np.int32)
+                nodes = np.array([node_of(s) for s in sets], dtype=np.int64)
+                block = int(_int64(tk.mix(nodes.view(np.uint64) + np.arange(len(nodes), dtype=np.uint64))).sum())
+                tok, idx = np.concatenate(sets) & _BITS, np.repeat(np.arange(len(sets), dtype=np.uint16), size)
+                part = ((tok >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+                order = np.lexsort((tok, part))
+                tok, idx, part = tok[order], idx[order], part[order]
+                first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+                count = np.diff(np.append(first, len(tok)))
+                hot = count >= LOCAL
+                rare = ~np.repeat(hot, count)
+                many, m_part, m_count, m_idx = tok[first[hot]], part[first[hot]], count[hot].astype(np.int32), idx[~rare]
+                tok, idx, part = tok[rare], idx[rare], part[rare]
+                order = np.argsort(part.astype(np.int64) << 16 | idx, kind="stable")  # runs of idx are compressed
+                tok, idx, part = tok[order], idx[order], part[order]
+                to = np.unique(np.concatenate([part, m_part]))
+                cut, m_cut = (np.searchsorted(p, np.append(to, parts)) for p in (part, m_part))
+                spans, m_spans = list(zip(cut[:-1], cut[1:])), list(zip(m_cut[:-1], m_cut[1:]))
+                yield _packed(to, [block] * len(to), [len(to)] * len(to), [_six(tok[x:y]) for x, y in spans], [idx[x:y] for x, y in spans], [_six(many[x:y]) for x, y in m_spans], [m_count[x:y] for x, y in m_spans])
+                yield _packed([-1], [block], [len(to)], [nodes], [size], [np.concatenate([m_idx.view(np.uint8), _six(many).ravel()])], [m_count])
+
+    return docs.select("text").filter("doc_id is not null and text is not null").mapInArrow(run, _PACKET)
+
+
+def counted(sent: DataFrame, parts: int) -> DataFrame:
+    """The replies to packets: entries that another document has, and in how many documents they are (n: of tok, then of many)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["to"]):
+            tok, many = ([_from_six(x) for x in t.column(c).to_pylist()] for c in ("tok", "many"))
+            n = [np.frombuffer(x, np.int32) for x in t.column("n").to_pylist()]
+            idx = [np.frombuffer(x, np.uint16) for x in t.column("idx").to_pylist()]
+            every, at = np.unique(np.concatenate([*tok, *many]), return_inverse=True)
+            rows = sum(map(len, tok))
+            df = np.bincount(at[:rows], minlength=len(every)) + np.bincount(at[rows:], np.concatenate(n) if len(at) > rows else None, minlength=len(every)).astype(np.int64)
+            df = np.minimum(df, np.iinfo(np.int32).max).astype(np.int32)
+            of_tok = np.split(df[at[:rows]], np.cumsum([len(x) for x in tok])[:-1])
+            of_many = np.split(df[at[rows:]], np.cumsum([len(x) for x in many])[:-1])
+            keep = [d > 1 for d in of_tok]
+            yield _packed(t.column("to").to_numpy(), t.column("block").to_numpy(), t.column("packets").to_numpy(), [_six(x[k]) for x, k in zip(tok, keep)], [x[k] for x, k in zip(idx, keep)], [_six(x[:0]) for x in many], [np.concatenate([d[k], m]) for d, k, m in zip(of_tok, keep, of_many)])
+
+    return sent.repartitionById(parts, F.col("to")).sortWithinPartitions("to").mapInArrow(run, _PACKET)
+
+
+def postings(sent: DataFrame, replies: DataFrame, threshold: float) -> DataFrame:
+    """tok, node, size, pos and df: the prefix of each node, of n-grams that another document has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["block"]):
+            rows = {}
+            for r in t.to_pylist():  # the owner's row and one for each part
+                rows.setdefault(r["to"], r)
+            own = rows.pop(-1, None)
+            if own is None or len(rows) != own["packets"]:
+                raise RuntimeError("a block of n-grams did not get all its replies: its input changed between two runs of a task")
+            node, size = np.frombuffer(own["tok"], np.int64), np.frombuffer(own["idx"], np.int32).astype(np.int64)
+            tok, idx, df, m_df = [], [], [], []
+            for _, r in sorted(rows.items()):
+                x = _from_six(r["tok"])
+                d = np.frombuffer(r["n"], np.int32)
+                tok.append(x)
+                idx.append(np.frombuffer(r["idx"], np.uint16))
+                df.append(d[: len(x)])
+                m_df.append(d[len(x) :])
+            repeat = np.frombuffer(own["n"], np.int32)  # in the order of parts, as the replies
+            hot = int(repeat.sum()) * 2
+            tok = np.concatenate([*tok, np.repeat(_from_six(own["many"][hot:]), repeat)])
+            idx = np.concatenate([*idx, np.frombuffer(own["many"][:hot], np.uint16)]).astype(np.int64)
+            df = np.concatenate([*df, np.repeat(np.concatenate(m_df), repeat)])
+            order = np.lexsort((tok, df, idx))
+            tok, idx, df = tok[order], idx[order], df[order]
+            start = np.searchsorted(idx, np.arange(len(node)))
+            shared = np.bincount(idx, minlength=len(node))
+            pos = np.arange(len(idx)) - start[idx] + (size - shared)[idx]  # after the n-grams that it has alone
+            prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+            at = np.flatnonzero(pos < prefix[idx])
+            if len(at):
+                who = idx[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_int64(tok[at])), pa.array(node[who]), pa.array(size[who].astype(np.int32)), pa.array(pos[at].astype(np.int32)), pa.array(df[at].astype(np.int64))], names=["tok", "node", "size", "pos", "df"]
+                )
+
+    rows = sent.filter("to < 0").union(replies)
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "tok bigint, node bigint, size int, pos int, df bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -117,80 +239,73 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _shared(mx: np.ndarray, my: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of two matrices padded with 0: how many hashes each pair of rows shares, and the first of x that y has."""
-    same = ((mx[:, :, None] == my[:, None, :]) & (mx[:, :, None] != 0)).any(axis=2)
-    return same.sum(axis=1), mx[np.arange(len(mx)), same.argmax(axis=1)]
-
-
-def list_pairs(tok: int, node, size, length, pos, order: np.ndarray, part, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs whose first shared hash is tok, of one list.  length, pos: of the whole sketch; order: the sketch's shared hashes in the global order, padded with 0; cross: only pairs of different parts."""
-    least = np.minimum(MIN_SHARED, np.ceil(threshold * size - 1e-9)).astype(np.int64)
-    blocks: list[tuple[int, np.ndarray]] = []
-    for p in np.unique(pos):
-        at = np.flatnonzero(pos == p)
-        blocks.append((int(p), at[np.argsort(size[at], kind="stable")]))
-    left, right = [], []
-    floor = int(least.min())
-    longest = int(length.max())
-    for bi, (p, x) in enumerate(blocks):
-        for q, y in blocks[bi:]:
-            if min(longest - p, longest - q) < floor:
-                continue  # no pair of these blocks can share enough
-            lo = np.searchsorted(size[y], np.ceil(threshold * size[x] - 1e-9), side="left")
-            hi = np.searchsorted(size[y], np.floor(size[x] / threshold + 1e-9), side="right")
-            n = np.maximum(hi - lo, 0)
-            a = np.repeat(x, n)
-            b = y[np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))]
-            ok = np.minimum(length[a] - p, length[b] - q) >= np.maximum(least[a], least[b])
-            if p == q:
-                ok &= a < b  # both directions are in the range
-            if cross:
-                ok &= part[a] != part[b]
-            a, b = a[ok], b[ok]
-            for k in range(0, len(a), _PAIRS_AT_ONCE):
-                u, v = a[k : k + _PAIRS_AT_ONCE], b[k : k + _PAIRS_AT_ONCE]
-                count, first = _shared(order[u], order[v])
-                good = (count >= np.maximum(least[u], least[v])) & (first == tok)
-                left.append(node[u[good]])
-                right.append(node[v[good]])
-    if not left:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none
-    a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of nodes (node, size, sketch) whose sketches share enough hashes."""
-    tokens = nodes.select("node", "size", F.size("sketch").alias("len"), F.explode("sketch").alias("tok"))
-    tokens = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("tok"))).filter("df > 1")
-    own = tokens.groupBy("node", "size", "len").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("shared"))
-    # hashes of one node only come first in the order, so they take their places in the prefix but need no list
-    least = F.least(F.lit(MIN_SHARED), F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
-    own = own.withColumn("alone", F.col("len") - F.size("shared")).withColumn("prefix", F.col("len") - least + 1 - F.col("alone")).filter("prefix > 0")
-    own = own.select("node", "size", "len", "alone", F.col("shared.tok").alias("order"), F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("at", "s"))
-    own = own.withColumn("parts", F.ceil(F.col("s.df") / F.lit(LIST_ROWS)).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    lists = own.select(
-        F.col("s.tok").alias("tok"), "node", "size", "len", (F.col("alone") + F.col("at")).cast("int").alias("pos"), "order", "part",
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"),
-    ).select("tok", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "size", "len", "pos", "order", "part")
+def list_pairs(group: np.ndarray, tok, node, size, pos, part, cross, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct candidate pairs of the lists (group, tok): of sizes, and with rests after their positions, that allow the threshold.  cross: only pairs of different parts."""
+    order = np.lexsort((size, tok, group))
+    group, tok, node, size, pos, part, cross = (x[order] for x in (group, tok, node, size, pos, part, cross))
+    m = len(order)
+    which = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (tok[1:] != tok[:-1])]))
+    wide = np.int64(int(size.max()) * 2 + 2)
+    key = which * wide + size
+    end = np.searchsorted(key, which * wide + np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), wide - 1), side="right")
+    share = threshold / (1 + threshold)
+    rest, least = size - pos, np.ceil(2 * share * size - 1e-9)  # the partner is at least as large
+    names, code = np.unique(node, return_inverse=True)
+    at = np.flatnonzero((end > np.arange(m) + 1) & (rest >= least))
+    best = np.maximum.reduceat(rest, np.arange(0, m, BLOCK))
+    # pieces of each range that lie in one block of places; those without a rest that is long enough are skipped
+    low, high = (at + 1) // BLOCK, (end[at] - 1) // BLOCK
+    n = high - low + 1
+    who = np.repeat(at, n)
+    block = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    ok = best[block] >= least[who]
+    who, block = who[ok], block[ok]
+    start = np.maximum(who + 1, block * BLOCK)
+    n = np.minimum(end[who], (block + 1) * BLOCK) - start
+    found = [np.zeros(0, dtype=np.int64)]
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + _PAIRS_AT_ONCE, _PAIRS_AT_ONCE), side="right") if len(n) else []
+    for x, y in zip(cuts, [*cuts[1:], len(n)]):
+        k = n[x:y]
+        a = np.repeat(who[x:y], k)
+        b = np.repeat(start[x:y] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        ok = (np.minimum(rest[a], rest[b]) >= np.ceil(share * (size[a] + size[b]) - 1e-9)) & (node[a] != node[b]) & (~cross[a] | (part[a] != part[b]))
+        u, v = code[a[ok]], code[b[ok]]
+        found.append(np.unique(np.minimum(u, v) * len(names) + np.maximum(u, v)))
+    found = np.unique(np.concatenate(found))
+    return names[found // len(names)], names[found % len(names)]
+
+
+def candidates(index: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of nodes that share an n-gram of their prefixes and may reach the threshold."""
+    of = Window.partitionBy("tok")
+    lists = index.withColumn("rep", F.min("node").over(of)).withColumn("last", F.max("node").over(of)).filter("rep < last")
+    # a power of two, so that a node's parts are nested
+    lists = lists.withColumn("parts", F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / F.lit(LIST_ROWS))).cast("int"))).cast("int"))
+    lists = lists.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("rep", "tok", "node", "size", "pos", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    lists = lists.select("rep", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "tok", "node", "size", "pos", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["tok", "p", "q"]):
-            if t.num_rows < 2:
-                continue
-            col = {k: t.column(k).to_numpy() for k in ("node", "size", "len", "pos", "part")}
-            lists = t.column("order").combine_chunks()
-            offs, flat = np.asarray(lists.offsets), lists.values.to_numpy()
-            order = np.zeros((t.num_rows, SKETCH), dtype=np.int64)
-            width = np.diff(offs)
-            order[np.arange(SKETCH)[None, :] < width[:, None]] = flat[offs[0] : offs[-1]]
-            a, b = list_pairs(t.column("tok")[0].as_py(), col["node"], col["size"], col["len"].astype(np.int64), col["pos"], order, col["part"], t.column("p")[0].as_py() != t.column("q")[0].as_py(), threshold)
+        held: list[pa.Table] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            col = {k: np.concatenate([t.column(k).to_numpy() for t in held]) for k in ("tok", "node", "size", "pos", "part", "p", "q")}
+            group = np.repeat(np.arange(len(held)), [t.num_rows for t in held])
+            a, b = list_pairs(group, col["tok"], col["node"], col["size"].astype(np.int64), col["pos"].astype(np.int64), col["part"], col["p"] != col["q"], threshold)
+            held.clear()
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return lists.repartition("tok", "p", "q").sortWithinPartitions("tok", "p", "q").mapInArrow(run, "a bigint, b bigint")
+        rows = 0
+        for t in _groups(batches, ["rep", "p", "q"]):
+            held.append(t)
+            rows += t.num_rows
+            if rows >= _ROWS_AT_ONCE:
+                yield from flush()
+                rows = 0
+        if held:
+            yield from flush()
+
+    return lists.repartition("rep", "p", "q").sortWithinPartitions("rep", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def overlaps(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -249,7 +364,9 @@ def verified(docs: DataFrame, holders: DataFrame, pairs: DataFrame, n: int, thre
     member = led.select("g", F.col("a").alias("node")).union(led.select("g", "b")).groupBy("node").agg(F.collect_set("g").alias("gs"))
     wanted = member.join(holders, "node").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "gs")
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).filter("doc_id is not null and text is not null")
-    text = source.join(wanted.hint("shuffle_hash"), source["doc_id"] == F.col("_id")).select("_node", "gs", "text")
+    wanted = stored(wanted, "wanted")
+    few = wanted.limit(SENT_NODES + 1).count() <= SENT_NODES
+    text = source.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), source["doc_id"] == F.col("_id")).select("_node", "gs", "text")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,19 +399,41 @@ def verified(docs: DataFrame, holders: DataFrame, pairs: DataFrame, n: int, thre
 
 
 def node_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members: node, doc_id; pairs: a, b, jaccard, of different nodes).  Together they hold every pair of documents."""
+    """(members: node and doc_id, of all documents; pairs: a, b, jaccard, of different nodes).  Together they hold every pair of documents."""
     if not 0 < threshold <= 1 or n < 1 or n > len(tk._MULTIPLIERS):
         raise ValueError("threshold must be in (0, 1], n from 1 to 64")
-    found = stored(sketches(docs, n), "sketches")
-    nodes = found.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    pairs = stored(candidates(nodes, threshold), "candidates")
-    holders = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    return found.select("node", "doc_id").distinct(), verified(docs, holders, pairs, n, threshold)
+    docs = picked(docs, "doc_id", "text")
+    spark = docs.sparkSession
+    members = stored(sizes(docs, n).distinct(), "sizes")
+    total = members.agg(F.sum(F.col("size").cast("bigint"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // COUNTED))
+    sent = packets(docs, n, parts)
+    index = postings(sent, counted(sent.filter("to >= 0"), parts), threshold)
+    pairs = stored(candidates(index, threshold), "candidates")
+    del sent, index
+    release_shuffles(spark)
+    holders = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return members.select("node", "doc_id").distinct(), verified(docs, holders, pairs, n, threshold)
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its connected component of the join) and links (how many other documents are similar to it, equal ones included)."""
+    members, pairs = node_join(docs, n, threshold)
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    held = members.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
+    both = pairs.union(pairs.select("b", "a"))
+    links = both.join(held.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("more"))
+    info = held.join(components(pairs), "node", "left").join(links.withColumnRenamed("a", "node"), "node", "left")
+    info = info.select("node", F.coalesce("root", "node").alias("root"), "low", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    lowest = info.groupBy("root").agg(F.min("low").alias("class_id"))
+    info = info.join(lowest, "root").select("node", "class_id", "links")
+    return members.join(info, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_a < doc_b and jaccard, a row for each pair of documents at or over the threshold."""
+    """doc_a < doc_b and jaccard, a row for each pair of documents at or over the threshold (copies expanded, so for tables of few copies)."""
     members, pairs = node_join(docs, n, threshold)
+    members = members.filter("node is not null")
     one = members.select(F.col("node").alias("a"), F.col("doc_id").alias("x"))
     two = members.select(F.col("node").alias("b"), F.col("doc_id").alias("y"))
     across = pairs.join(one, "a").join(two, "b").select("x", "y", "jaccard")
@@ -326,6 +465,7 @@ def components(edges: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and kept: each document of a group of similar ones (a connected component of the join) except the one with the smallest doc_id, which is kept."""
     members, pairs = node_join(docs, n, threshold)
+    members = members.filter("node is not null")
     roots = components(pairs.select("a", "b"))
     grouped = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")

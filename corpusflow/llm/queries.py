@@ -40,7 +40,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.join(table(spark, sf_dir, "documents"))
+    return ngram_jaccard.classes(table(spark, sf_dir, "documents"))
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,4 +136,4 @@ def _shard_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scans": _secret_sql(), "op4_url_filters": _url_sql(), "op7_jaccard_join": text_sql.jaccard_pairs(ngram_jaccard.N, ngram_jaccard.THRESHOLD), "op8_warc_revisits": _warc_sql(), "op10_sharding": _shard_sql()}
+    return {"op3_secret_scans": _secret_sql(), "op4_url_filters": _url_sql(), "op7_jaccard_join": text_sql.jaccard_classes(ngram_jaccard.N, ngram_jaccard.THRESHOLD), "op8_warc_revisits": _warc_sql(), "op10_sharding": _shard_sql()}

@@ -14,9 +14,14 @@ def ngram_sets(n: int, source: str = "documents", key: str = "doc_id") -> str:
     sizes AS (SELECT {key}, count(*) AS size FROM grams GROUP BY {key})"""
 
 
-def jaccard_pairs(n: int, threshold: float) -> str:
+def jaccard_classes(n: int, threshold: float) -> str:
+    """A row for each document: the smallest document that links lead to, and the number of its links."""
     return f"""
-    WITH {ngram_sets(n)},
-    shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS s FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-    SELECT doc_a, doc_b, s / (x.size + y.size - s) AS jaccard FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-    WHERE s / (x.size + y.size - s) >= {threshold}"""
+    WITH RECURSIVE {ngram_sets(n)},
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS s FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+    pairs AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE s / (p.size + q.size - s) >= {threshold}),
+    links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+    reach(x, y) AS (SELECT x, x FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+    SELECT doc_id, coalesce(c, doc_id) AS class_id, coalesce(n, 0) AS links
+    FROM documents LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS n FROM links GROUP BY x) USING (doc_id)
+    WHERE doc_id IS NOT NULL"""

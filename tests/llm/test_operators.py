@@ -341,9 +341,39 @@ def test_join_against_brute_force(spark):
     for a, b in combinations(sorted(sets), 2):
         if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= ngram_jaccard.THRESHOLD:
             want[a, b] = j
-    assert set(got) <= set(want)
-    assert len(got) >= 0.98 * len(want)
+    assert set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    root = {k: k for k, t in enumerate(texts)}
+    for _ in range(len(texts)):
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    links = Counter(x for pair in want for x in pair)
+    rows = ngram_jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, rows)) == sorted((k, root[k], links[k]) for k in root)
+
+
+def test_pairs_at_and_about_the_threshold(spark, monkeypatch):
+    """Sets of many sizes that share just enough n-grams, one less, and one more; hot n-grams in every block; lists cut into parts."""
+    rng = random.Random(17)
+    rows, k = [], 0
+    for size in [3, 5, 8, 13, 33, 64, 90, 200, 300]:
+        for more in (-1, 0, 1):
+            own = size + 2
+            shared = max(1, round(2 * size / 3) + more)
+            a = [f"w{k}x{i}" for i in range(own)]
+            b = a[: shared + 2] + [f"w{k}y{i}" for i in range(max(0, size - shared))]
+            rows += [(k, " ".join(a)), (k + 1, " ".join(b))]
+            k += 2
+    hot = "the same words in each of them and more of it"
+    rows = [(i, t + " " + hot if rng.random() < 0.5 else t) for i, t in rows] + [(k + i, hot + " " + " ".join(f"q{rng.randrange(40)}" for _ in range(6))) for i in range(40)]
+    monkeypatch.setattr(ngram_jaccard, "LOCAL", 3)
+    monkeypatch.setattr(ngram_jaccard, "LIST_ROWS", 4)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 3)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sets = {i: shingles(t) for i, t in rows}
+    for threshold in (0.3, 0.5, 0.8):
+        got = {(r["doc_a"], r["doc_b"]) for r in ngram_jaccard.join(docs, threshold=threshold).collect()}
+        assert got == {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
 
 
 def test_long_lists_are_cut_without_loss(spark, monkeypatch):
