@@ -29,6 +29,7 @@ than ``MIN_ITEM`` words, or without enough literal words, is found by its words
 * null or empty text, null doc_id or item_id: not in the result
 * repeated documents: one row for each doc_id and item_id; for repeated item_ids
   the windows of all their different texts count as one item
+* very long text: processed whole; ties: of values that are equally common on a diagonal the smallest is the mapping
 * extra columns: not in the result; empty tables: empty result
 """
 
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import textkernel as tk
-from corpusflow.llm._common import stored
+from corpusflow.llm._common import picked, stored
 
 WINDOW, COVERAGE, MIN_LITERAL, MIN_ITEM = 8, 0.4, 4, 4
 SENT_WINDOWS = 4_000_000
@@ -134,7 +135,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                         out = _batch(ids[i:j][row], pos, length, grams, slots, "item_id")
                         yield out.append_column("part", pa.array(parts[i:j][row], pa.int64())).append_column("exact", pa.array(np.full(len(row), exact)))
 
-    found = benchmark.select(F.col("item_id").cast("bigint"), F.col("text"), F.xxhash64("text").alias("part")).filter("item_id is not null and text is not null").distinct()
+    found = picked(benchmark, "item_id", "text").select(F.col("item_id").cast("bigint"), F.col("text"), F.xxhash64("text").alias("part")).filter("item_id is not null and text is not null").distinct()
     found = found.mapInArrow(run, "item_id bigint, pos int, length int, hash bigint, slots array<bigint>, part bigint, exact boolean")
     found = found.withColumn("alike", F.bool_or(~F.col("exact")).over(Window.partitionBy("item_id", "part", "pos")))
     item = Window.partitionBy("item_id")
@@ -162,7 +163,7 @@ def document_windows(docs: DataFrame, lengths: list[tuple[int, bool]], keep: np.
                     if len(row):
                         yield _batch(ids[i:j][row], pos, length, grams, slots, "doc_id")
 
-    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text")).filter("doc_id is not null and text is not null")
+    source = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text")).filter("doc_id is not null and text is not null")
     return source.mapInArrow(run, "doc_id bigint, pos int, length int, hash bigint, slots array<bigint>")
 
 
@@ -177,7 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     found = document_windows(docs, lengths, keep)
     b = bench.select("item_id", F.struct("part", "pos").alias("place"), F.col("pos").alias("at"), "length", "hash", F.col("slots").alias("asked"), "alike", "n", "n_alike")
     hits = found.dropDuplicates(["doc_id", "pos", "length", "hash"]).join(b, ["hash", "length"]).withColumn("diagonal", F.col("pos") - F.col("at"))
-    hits = hits.withColumn("pairs", F.arrays_zip("asked", "slots"))
+    # stored, as two branches read it: the documents are read once
+    hits = stored(hits.withColumn("pairs", F.arrays_zip("asked", "slots")).drop("asked", "slots", "hash", "length", "at"), "hits")
     key = ["doc_id", "item_id", "diagonal"]
     # the document's value for each of the item's values: the commonest on the diagonal, of equally common ones the smallest
     votes = hits.filter(F.size("pairs") > 0).select(*key, F.explode("pairs").alias("p")).groupBy(*key, F.col("p.asked").alias("asked"), F.col("p.slots").alias("value")).agg(F.count(F.lit(1)).alias("votes"))
