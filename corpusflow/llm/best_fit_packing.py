@@ -20,6 +20,7 @@ one length in the order of (hash, doc_id, piece).
 
 * null or empty text, or white space only: 0 words, no piece
 * null doc_id: packed like any other, with doc_id null
+* empty table: empty result; very long text: as many pieces as it needs
 * repeated rows: each is packed; extra columns: not in the result
 """
 
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm._common import stored
+from corpusflow.llm._common import picked, stored
 
 CAPACITY = 2048
 #: pieces that one ranking task should get
@@ -106,7 +107,7 @@ def _ranges(plan: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarra
 
 def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     """doc_id, piece (from 0), start (in words) and length of each piece."""
-    n = docs.select(F.col("doc_id"), word_count(F.col("text")).alias("n")).filter("n > 0")
+    n = picked(docs, "doc_id", "text").select(F.col("doc_id"), word_count(F.col("text")).alias("n")).filter("n > 0")
     parts = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))
     out = n.select("doc_id", "n", F.explode(parts).alias("piece"))
     start = F.col("piece") * F.lit(capacity)

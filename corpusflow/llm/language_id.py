@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import textkernel as tk
+from corpusflow.llm._common import picked
 
 ROWS_PER_LANGUAGE, DIMENSIONS, RIDGE, SEED = 300, 1 << 12, 0.05, 29
 AMBIGUOUS, MIN_LETTERS, CODE_TRIES, MAX_LANGUAGES = 0.1, 8, 64, 256
@@ -133,7 +134,7 @@ _SCHEMA = "doc_id bigint, lang string, letters bigint, language string, distance
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).filter("doc_id is not null and lang <> ''")
+    known = picked(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).filter("doc_id is not null and lang <> ''")
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return None
@@ -190,4 +191,4 @@ def identify(docs: DataFrame, model: Model | None = None, rows_per_language: int
                     names=["doc_id", "lang", "letters", "language", "distance", "margin", "ambiguous"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).mapInArrow(run, _SCHEMA)
+    return picked(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).mapInArrow(run, _SCHEMA)

@@ -45,6 +45,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm._common import picked
+
 _LOOK = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲνⅼ", "ABEKMHOPCTXaeopcyxijsdhqwABEZHIKMNOPTYXocvl"))
 _LOOK |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)} | {"﹫": "@", "․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "　": " ", " ": " ", " ": " ", " ": " "}
 _LOOK |= {c: str(unicodedata.decimal(c)) for c in map(chr, range(0x80, 0x1FBFA)) if unicodedata.category(c) == "Nd"}
@@ -365,5 +367,5 @@ def detect(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "kind", "start", "end", "surface", "normalized"])
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
+    source = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     return source.filter(has_trace(F.col("text"))).mapInArrow(run, _SCHEMA)

@@ -20,7 +20,9 @@ statistics, score) is stored; calibration joins its scores with the labels.
 * a doc_id that is labelled several times with different values: not used to calibrate
 * repeated rows: each is scored (to the same score)
 * no labels, or labels of one kind only: threshold ``DEFAULT_THRESHOLD``
-* extra columns: not in the result; empty tables: empty result
+* very long texts: as any other, their statistics are of the whole text
+* ties: a score at exactly the threshold is rejected; of equally good thresholds the highest is taken
+* extra columns: not in the result (``kept`` keeps all columns); empty tables: empty result
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import textkernel as tk
-from corpusflow.llm._common import stored
+from corpusflow.llm._common import by_ids, picked, stored
 
 TREES, SUBSAMPLE, FIT_ROWS, SEED = 128, 256, 20_000, 17
 BINS, MAX_LOSS, DEFAULT_THRESHOLD = 1000, 0.005, 0.5
@@ -156,20 +158,20 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _label(labels: DataFrame) -> DataFrame:
-    out = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    out = picked(labels, "doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     return out.filter("quality = other").select("doc_id", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Forest | None:
     """A forest on about fit_rows labelled good documents, or on as many of all documents if none is labelled good; None if no document has words."""
-    known = _label(labels)
-    good = known.filter("quality = 1").select("doc_id")
-    for chosen in (good, docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()):
+    docs = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    good = _label(labels).filter("quality = 1").select("doc_id")
+    for chosen in (good, docs.select("doc_id").filter("doc_id is not null").distinct()):
         n = chosen.count()
         share = int(min(1.0, fit_rows / max(n, 1)) * 1_000_000)
-        ids = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-        sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-        rows = rule_statistics(sample).filter("n_words > 0").join(ids, "doc_id", "left_semi").select("doc_id", *RULES).toPandas()
+        # the ids first, about fit_rows of them, so that only these texts are looked at
+        sample = by_ids(docs, chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share), "left_semi")
+        rows = rule_statistics(sample).filter("n_words > 0").select("doc_id", *RULES).toPandas()
         if len(rows):
             rows = rows.sort_values(["doc_id", *RULES])[list(RULES)].to_numpy(dtype=float)
             return Forest.fit(rows)
@@ -191,7 +193,7 @@ def calibrate(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS)
 
 
 def _scored(docs: DataFrame, forest: Forest | None) -> DataFrame:
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    source = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return source.mapInArrow(lambda it: _stat_rows(it, forest or _blank_forest()), _FIELDS + ", score double")
 
 
@@ -205,11 +207,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns.
 
-    The forest is fitted and the threshold calibrated as in ``score``; the verdict is
-    then computed in the scan that copies the documents, so no text is shuffled.
+    The forest is fitted and the threshold calibrated as in ``score``, from the labelled
+    documents alone; the verdict is then computed in the scan that copies the documents.
     """
     forest = fit(docs, labels)
-    threshold = calibrate(stored(_scored(docs, forest).select("doc_id", "n_words", "score"), "quality"), labels)
+    labelled = by_ids(picked(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), _label(labels), "left_semi")
+    threshold = calibrate(_scored(labelled, forest), labels)
     rows = forest or _blank_forest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,14 +7,17 @@ versions hold it, and findings are joined back to all paths.  Raising a rule's
 version scans the known blobs again with that rule alone.
 
 Plan: path and digest are one narrow table; one holder of each unseen blob is
-chosen by an aggregation of digests; the text reaches the scan by one hash join
-with these holders (the small side is built, the text is streamed, not sorted).
+chosen by an aggregation of digests.  If these are few (an increment), they are sent
+to the texts, which stay where they are and of which only the unseen are looked at;
+else (a first scan) the text reaches the scan by one hash join with the holders
+(the small side is built, the text is streamed, not sorted).
 Rules run as JVM regular expressions, each behind a literal test.
 
 * null text: no blob, no findings; empty text: a blob without findings
 * null path: its findings are joined to path null like any other
 * repeated (path, text) rows: reported once
-* extra columns: not in the result
+* very long text: scanned whole; ties: of the paths of a blob the smallest is scanned, all are reported
+* extra columns: not in the result; empty table: empty result
 * a missing ledger is an empty one; findings are stored before the scanned
   triples, so after a failure in between a rescan adds repeats, dropped on reading
 """
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm._common import stored
+from corpusflow.llm._common import SENT_IDS, picked, stored
 
 _EDGE = "(?:^|[^0-9A-Za-z_])"
 #: the end of an assigned name; any prefix may stand before it
@@ -76,6 +79,10 @@ RULES = (
 )
 
 
+#: so many unseen blobs (some 100 bytes each) are sent to the texts; beyond, texts and blobs meet in a shuffle
+SENT_HOLDERS = SENT_IDS // 20
+
+
 def _hinted(lowered: Column, rule: Rule) -> Column:
     out = F.lit(False)
     for hint in rule.hints:
@@ -131,7 +138,7 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: S
     spark = versions.sparkSession
     if len({r.key for r in rules}) < len(rules):
         raise ValueError("rule names and versions must be distinct")
-    source = versions.select(F.col(f"`{path}`").alias("_path"), F.col(f"`{text}`").alias("_text")).filter(F.col("_text").isNotNull())
+    source = picked(versions, path, text).select(F.col(f"`{path}`").alias("_path"), F.col(f"`{text}`").alias("_text")).filter(F.col("_text").isNotNull())
     blob = F.unhex(F.sha2("_text", 256))
     held = stored(source.select("_path", blob.alias("_blob")).distinct(), "blobs")
     keys = F.array(*[F.lit(r.key) for r in rules]) if rules else F.array().cast("array<string>")
@@ -143,8 +150,10 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: S
         seen = known.groupBy(F.col("blob").alias("_blob")).agg(F.flatten(F.collect_set("rules")).alias("_seen"))
         holders = holders.join(seen, "_blob", "left").withColumn("_wanted", F.array_except(keys, F.coalesce("_seen", F.array().cast("array<string>")))).drop("_seen")
     holders = holders.filter(F.size("_wanted") > 0)
+    holders = stored(holders, "holders")
+    few = holders.limit(SENT_HOLDERS + 1).count() <= SENT_HOLDERS
     rows = source.withColumn("_blob", blob)
-    joined = rows.alias("r").join(holders.hint("shuffle_hash").alias("h"), (F.col("r._blob") == F.col("h._blob")) & F.col("r._path").eqNullSafe(F.col("h._path")))
+    joined = rows.alias("r").join((F.broadcast(holders) if few else holders.hint("shuffle_hash")).alias("h"), (F.col("r._blob") == F.col("h._blob")) & F.col("r._path").eqNullSafe(F.col("h._path")))
     found = joined.select(F.col("h._blob").alias("blob"), F.explode(find(F.col("_text"), rules, F.col("_wanted"))).alias("f"))
     found = found.select("blob", "f.rule", "f.version", F.sha2("f.secret", 256).alias("secret_sha256"), masked(F.col("f.secret")).alias("masked"), "f.hits", "f.first_pos")
     found = found.dropDuplicates(["blob", "rule", "version", "secret_sha256"])  # a holder may occur in several equal rows

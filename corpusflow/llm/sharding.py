@@ -11,7 +11,7 @@ the key, so any reader can compute it.
 
 * null key: shard null (such a record has no stable key); the row stays
 * repeated keys: the same shard each time; ties of score: the smaller shard name
-* empty table: empty result; extra columns: kept out of the result of ``assign``
+* empty table: empty result; very long key: hashed whole; extra columns: kept out of the result of ``assign``
 * weights must be positive and shard names distinct: otherwise ValueError
 """
 
@@ -22,6 +22,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm._common import picked
+
 #: hex digits of the digest that make u: 52 bits, exact in a double
 _HEX, _SCALE = 13, float(1 << 52)
 
@@ -56,7 +58,7 @@ def owner(key: Column, shards: Mapping[str, float]) -> Column:
 def assign(records: DataFrame, key: str, shards: Mapping[str, float], after: Mapping[str, float] | None = None) -> DataFrame:
     """key, shard and, with ``after`` (the shards after a change), shard_after and moved."""
     k = F.col(f"`{key}`")
-    out = records.select(k.alias(key), owner(k, shards).alias("shard"))
+    out = picked(records, key).select(k.alias(key), owner(k, shards).alias("shard"))
     if after is None:
         return out
     out = out.withColumn("shard_after", owner(F.col(f"`{key}`"), after))

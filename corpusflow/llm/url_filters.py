@@ -12,6 +12,7 @@ from the vocabulary, which is a parameter of fixed size.
 
 * null or empty URL: no hits, not rejected
 * bytes that are not UTF-8 after percent-decoding become U+FFFD
+* very long URL: searched whole; empty table: empty result; ties: weights and counts are equal or above the limits to reject
 * repeated rows: each has its own result; extra columns: not in the result
 * a term that is strict and soft, empty, or repeated: ValueError
 """
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm._common import picked
+
 STRICT = ("spam-farm", "cheap-pills", "xxx", "porn", "malware", "phishing", "warez", "torrent-leaks", "escort")
 SOFT = (
     ("casino", 1.0), ("poker", 1.0), ("bet", 0.6), ("pills", 0.8), ("cheap", 0.5), ("free", 0.3), ("win", 0.4), ("prize", 0.7), ("loan", 0.7), ("spam", 0.9), ("ref", 0.2), ("feed", 0.2),
@@ -85,5 +88,5 @@ def filter_urls(
                 rows.append((sum(c for k, c in hits.items() if k < n_strict), sum(hits[k] for k in soft_found), len(soft_found), round(sum(weights[k] for k in soft_found), 6), sorted(terms[k] for k in hits)))
             yield pd.DataFrame(rows, columns=["strict_hits", "soft_hits", "soft_distinct", "soft_weight", "terms"])
 
-    out = pages.select(F.col(f"`{key}`").alias(key), F.col(f"`{url}`").alias("url")).withColumn("_s", scan("url")).select(key, "url", "_s.*")
+    out = picked(pages, key, url).select(F.col(f"`{key}`").alias(key), F.col(f"`{url}`").alias("url")).withColumn("_s", scan("url")).select(key, "url", "_s.*")
     return out.withColumn("rejected", (F.col("strict_hits") > 0) | ((F.col("soft_distinct") >= min_soft) & (F.col("soft_weight") >= min_weight)))

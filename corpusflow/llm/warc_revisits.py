@@ -17,7 +17,7 @@ verdict: ``resolved``; ``unvalidated`` (neither record shares a kind of validato
 with the other; the response is named, nothing is merged); ``mismatch``;
 ``orphan`` (no earlier response); ``no_url`` (null or empty URL); ``no_date`` (null
 date).  A null record_id sorts before others.  Header names are compared in lower
-case; null headers are empty.  Repeated rows are each resolved.  Extra columns are
+case; null headers are empty; an empty table gives an empty result.  Repeated rows are each resolved.  Extra columns are
 not in the result.
 """
 
@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.llm._common import picked
+
 #: what a 304 may update in the stored response
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
@@ -56,7 +58,7 @@ def _strong(tag: Column) -> Column:
 
 def resolve(captures: DataFrame, permitted: tuple[str, ...] = PERMITTED) -> DataFrame:
     """record_id, canonical, date, resolved_record_id, verdict and headers (a map) for each revisit."""
-    c = captures.select("record_id", "url", "date", "type", "status", _lowered(F.col("headers")).alias("headers"))
+    c = picked(captures, "record_id", "url", "date", "type", "status", "headers").select("record_id", "url", "date", "type", "status", _lowered(F.col("headers")).alias("headers"))
     c = c.withColumn("canonical", canonical_url(F.col("url")))
     usable = (F.coalesce(F.col("canonical"), F.lit("")) != "") & F.col("date").isNotNull()
     full = F.coalesce((F.col("type") == "response") & (F.col("status") == 200), F.lit(False))
