@@ -79,8 +79,8 @@ RULES = (
 )
 
 
-#: so many unseen blobs (some 100 bytes each) are sent to the texts; beyond, texts and blobs meet in a shuffle
-SENT_HOLDERS = SENT_IDS // 20
+#: so many unseen blobs (some 400 bytes each as a hash table) are sent to the texts; beyond, texts and blobs meet in a shuffle
+SENT_HOLDERS = SENT_IDS // 100
 
 
 def _hinted(lowered: Column, rule: Rule) -> Column:
