@@ -9,7 +9,12 @@
 Nulls: a document with a null or empty text, or without words, is rejected by the
 first stage.  One with a null doc_id can't be named in a decision of stages 2 to 4:
 it stays as it is in 2 and 3, and in 4 its text is searched directly.  Repeated rows of
-one document become one in stage 2.  Extra columns go in the first stage.
+one document become one in stage 2.  Extra columns go in the first stage.  Very long
+texts are processed whole; of documents that tie in stage 2 the smallest doc_id stays;
+empty tables give an empty result.
+
+Texts move between tasks only in the scans that need it: where the ids that a stage
+decides on are few (counted first, at most SENT_IDS), they are sent to the documents.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import best_fit_packing, decontamination, ngram_jaccard, quality_rules, secret_scans
-from corpusflow.llm._common import document_columns, fresh_path, stored, table
+from corpusflow.llm._common import SENT_IDS, by_ids, document_columns, fresh_path, stored, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = ngram_jaccard.duplicates(docs).select("doc_id")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     repeated = stored(repeated, "repeated")
-    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    left = by_ids(docs, gone, "left_anti")
     if repeated.isEmpty():
         return left.select(docs.columns)
     one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
@@ -40,15 +45,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = document_columns(docs)
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    return by_ids(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; in those with findings each secret is replaced, and n_chars counts the new text."""
     docs = document_columns(docs)
-    found = secret_scans.scan(docs, ledger=fresh_path(spark, "ledger")).select("doc_id").distinct().withColumn("_found", F.lit(True))
-    marked = docs.join(found.hint("shuffle_hash"), "doc_id", "left")
+    found = stored(secret_scans.scan(docs, ledger=fresh_path(spark, "ledger")).select("doc_id").distinct().withColumn("_found", F.lit(True)), "found")
+    few = found.limit(SENT_IDS + 1).count() <= SENT_IDS
+    marked = docs.join(F.broadcast(found) if few else found.hint("shuffle_hash"), "doc_id", "left")
     hit = F.col("_found") | (F.col("doc_id").isNull() & F.col("text").isNotNull())
     text = F.when(hit, secret_scans.redacted(F.col("text"))).otherwise(F.col("text"))
     out = marked.select("doc_id", text.alias("text"), "lang", "source", "n_chars", hit.alias("_hit"))
