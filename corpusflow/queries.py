@@ -352,3 +352,30 @@ def user_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
             return document
 
     return ops.Pipeline([ops.DocumentLengthFilter(max_doc_len=999), AddLength()]).survivors(documents(spark, sf_dir))
+
+
+@query("user_batch", "SELECT doc_id, text || '!' || length(text) AS text FROM documents WHERE length(text) < 1000")
+def user_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like user_filter, by lists of documents."""
+
+    class AddLengths(ops.Filter):
+        def apply_batch(self, batch):
+            for d, n in zip(batch, [len(d.text) for d in batch]):
+                d.text += f"!{n}"
+            return batch
+
+    return ops.Pipeline([ops.DocumentLengthFilter(max_doc_len=999), AddLengths(use_batch=True, batch_size=64)]).survivors(documents(spark, sf_dir))
+
+
+@query("user_skip", "SELECT doc_id, length(text) > 999 AS is_rejected, CASE WHEN length(text) > 999 THEN '\"0-DocumentLengthFilter\"' END AS name FROM documents")
+def user_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage in Python that fails on what an earlier stage has rejected: it never gets to see that."""
+
+    class OnlyShort(ops.Filter):
+        def apply(self, document):
+            if len(document.text) > 999:
+                raise ValueError("a rejected document")
+            return document
+
+    out = ops.Pipeline([ops.DocumentLengthFilter(max_doc_len=999), OnlyShort()]).transform(documents(spark, sf_dir))
+    return out.select("doc_id", "is_rejected", F.element_at("reject_reason", "name").alias("name"))

@@ -185,6 +185,33 @@ def test_profile_and_command_line(spark, tmp_path, capsys):
     assert split_lines(b"a\r\nb\rc\xff\n") == ["a", "b", "c�"]
 
 
+def test_batches_in_python(spark):
+    class Batched(ops.Filter):
+        def apply_batch(self, batch):
+            if len(batch) > 1 and any("bad" in d.text for d in batch):
+                raise ValueError("the batch")
+            if "bad" in batch[0].text:
+                raise ValueError("the document")
+            for d in batch:
+                d.extras["size"] = len(batch)
+            return batch
+
+    texts = [f"text {k}" for k in range(20)] + ["x" * 60, "bad one"]
+    stages = [ops.DocumentLengthFilter(max_doc_len=50), Batched(use_batch=True, batch_size=4)]
+    got = run(spark, stages, texts, on_error="reject")
+    sizes = [r["extras"].get("size") for r in got]
+    assert max(int(n) for n in sizes if n) > 1 and all(int(n) <= 4 for n in sizes if n)
+    assert sizes[20] is None and [r["is_rejected"] for r in got] == [False] * 20 + [True, True]
+    assert "the document" in got[21]["reject_reason"]["error"]
+    stats = ops.Pipeline(stages, on_error="reject").get_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert stats[2].cumulative_time_ns > 0 and stats[2].errors == 1
+
+
+def test_a_stage_is_computed_once(spark):
+    plan = queries.QUERIES["clean_basic"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 2
+
+
 def test_streams(spark, tmp_path):
     for part in (0, 1):
         spark.createDataFrame([(k + 10 * part, f"text number {k} of the stream") for k in range(3)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
