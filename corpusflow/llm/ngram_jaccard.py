@@ -5,13 +5,16 @@ Every document is a query; every pair of documents with similarity of at least
 the number of its links), ``join`` the pairs themselves.
 
 1. A document's set is its distinct n-gram hashes.  Equal sets are one *node*;
-   their documents are joined back at the end, so copies cost nothing before.
+   their documents are joined back at the end.  Of a node's documents one goes on, as
+   long as the copies are at most ``SENT_IDS``; beyond, they cost work but change nothing.
 2. Global order.  How many documents have each n-gram is counted over all documents.
    A block of documents sends its n-grams, packed, to the tasks that count them, one
    entry for each n-gram that ``LOCAL`` or more of its documents have (a hot n-gram is
    aggregated before the shuffle) and gets back those that another document
-   has, with their counts; most n-grams occur once and go no further.  N-grams are put
-   in the order (count, hash), rarest first.
+   has, with their counts (a byte: ``_code``); most n-grams occur once and go no further.
+   N-grams are put in the order (count, hash), rarest first.  Large tables are counted in
+   ``PASSES`` passes, each over its share of the n-grams, so that the disk holds one
+   share at a time.
 3. Prefix filter.  Two nodes x, y at the threshold t share at least
    t / (1 + t) * (|x| + |y|) n-grams, so they share one of the first
    |x| - ceil(t |x|) + 1 of x and of y; only these are indexed, and of these only
@@ -21,7 +24,9 @@ the number of its links), ``join`` the pairs themselves.
    shared n-gram is at positions i and j shares at most min(|x| - i, |y| - j), so
    entries, and whole blocks by their largest rest, are skipped by position.
    Lists that near copies share go to one task (that of their smallest node), which
-   reports a pair once however many n-grams it shares.  Lists of over ``LIST_ROWS``
+   reports a pair once however many n-grams it shares; where these are more than about
+   ``_ROWS_AT_ONCE`` rows they go to several tasks, by n-gram, and a pair's repeats are
+   removed afterwards.  Lists of over ``LIST_ROWS``
    are cut into parts and each pair of parts is a task of its own: nothing is capped.
 5. Answer-level skipping.  Candidates are verified in groups, the sets of a group
    shipped once.  The group's leader L is intersected with each set x once; what
@@ -29,8 +34,8 @@ the number of its links), ``join`` the pairs themselves.
    from the leader's answers and the differences alone:
    |x & y| = |L| - |L-x| - |L-y| + |(L-x) & (L-y)| + |(x-L) & (y-L)|.
 
-Shuffled: n-gram hashes (packed), the index, candidates, and the text of the documents
-that have candidates, to rebuild their sets.  A block is named by its contents, and its
+Shuffled, each step's gone before the next: n-gram hashes (packed), the index, candidates,
+and the sets of the documents that have candidates.  A block is named by its contents, and its
 replies are counted: should a lost executor's input come back in another order, the job
 fails rather than lose an n-gram.
 
@@ -45,7 +50,7 @@ fails rather than lose an n-gram.
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,17 +59,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import textkernel as tk
-from corpusflow.llm._common import SENT_IDS, picked, release_shuffles, stored
+from corpusflow.llm._common import SENT_IDS, discard, picked, release_shuffles, stored
 
 N, THRESHOLD = 3, 0.5
 #: n-grams that this many documents of a block have are sent once for the block
 LOCAL = 8
-#: n-gram entries that a counting task should get
-COUNTED = 2_000_000
+#: n-gram entries that a counting task should get; tables of more are taken in PASSES shares of the n-grams, one after the other
+COUNTED, PASSES = 1_000_000, 2
 LIST_ROWS, BLOCK = 1024, 64
 #: so many nodes that have candidates (some 60 bytes each) are sent to the texts; beyond, they meet in a shuffle
 SENT_NODES = SENT_IDS // 5
-_ROWS_AT_ONCE, _PAIRS_AT_ONCE = 200_000, 2_000_000
+_ROWS_AT_ONCE, _PAIRS_AT_ONCE = 200_000, 500_000
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -116,10 +121,16 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def packets(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """The n-grams of blocks of documents.  To each counting task: tok, idx (entries of rare n-grams, and whose they are), many and n (n-grams that LOCAL or more have, and how many).
+def _code(df: np.ndarray) -> np.ndarray:
+    """A count as a byte that grows with it: exact below 128, then four steps to a doubling.  N-grams of one code are in the order of their hashes, which the prefix filter allows."""
+    high = 128 + np.floor(4 * np.log2(np.maximum(df, 128) / 128)).astype(np.int64)
+    return np.where(df < 128, df, np.minimum(high, 255)).astype(np.uint8)
 
-    To none (to = -1), for the block's owner: nodes, sizes, and the n-grams of many with whose they are.
+
+def packets(docs: DataFrame, n: int, parts: int, share: int = 0, shares: int = 1) -> DataFrame:
+    """The n-grams, of one of so many shares, of blocks of documents.  To each counting task: tok, idx (entries of rare n-grams, and whose they are), many and n (n-grams that LOCAL or more have, and how many).
+
+    For the block's owner (to < 0; a counting task hands it on): nodes, sizes, and the n-grams of many with whose they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +144,12 @@ def packets(docs: DataFrame, n: int, parts: int) -> DataFrame:
                 nodes = np.array([node_of(s) for s in sets], dtype=np.int64)
                 block = int(_int64(tk.mix(nodes.view(np.uint64) + np.arange(len(nodes), dtype=np.uint64))).sum())
                 tok, idx = np.concatenate(sets) & _BITS, np.repeat(np.arange(len(sets), dtype=np.uint16), size)
+                mine = tok % np.uint64(shares) == share
+                tok, idx = tok[mine], idx[mine]
                 part = ((tok >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
                 order = np.lexsort((tok, part))
                 tok, idx, part = tok[order], idx[order], part[order]
-                first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+                first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])[: len(tok)])
                 count = np.diff(np.append(first, len(tok)))
                 hot = count >= LOCAL
                 rare = ~np.repeat(hot, count)
@@ -148,56 +161,63 @@ def packets(docs: DataFrame, n: int, parts: int) -> DataFrame:
                 cut, m_cut = (np.searchsorted(p, np.append(to, parts)) for p in (part, m_part))
                 spans, m_spans = list(zip(cut[:-1], cut[1:])), list(zip(m_cut[:-1], m_cut[1:]))
                 yield _packed(to, [block] * len(to), [len(to)] * len(to), [_six(tok[x:y]) for x, y in spans], [idx[x:y] for x, y in spans], [_six(many[x:y]) for x, y in m_spans], [m_count[x:y] for x, y in m_spans])
-                yield _packed([-1], [block], [len(to)], [nodes], [size], [np.concatenate([m_idx.view(np.uint8), _six(many).ravel()])], [m_count])
+                yield _packed([-1 - block % parts], [block], [len(to)], [nodes], [size], [np.concatenate([m_idx.view(np.uint8), _six(many).ravel()])], [m_count])
 
     return docs.select("text").filter("doc_id is not null and text is not null").mapInArrow(run, _PACKET)
 
 
-def counted(sent: DataFrame, parts: int) -> DataFrame:
-    """The replies to packets: entries that another document has, and in how many documents they are (n: of tok, then of many)."""
+def counted(sent: DataFrame, parts: int, share: int = 0) -> DataFrame:
+    """The replies to packets: entries that another document has, and the code of how many have them (n: of tok, then of many).  Owners' rows as they are.  to: numbered through all shares, -1 - share for the owners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["to"]):
+            if t.column("to")[0].as_py() < 0:
+                yield from t.set_column(0, "to", pa.array(np.full(t.num_rows, -1 - share, dtype=np.int32))).to_batches()
+                continue
             tok, many = ([_from_six(x) for x in t.column(c).to_pylist()] for c in ("tok", "many"))
             n = [np.frombuffer(x, np.int32) for x in t.column("n").to_pylist()]
             idx = [np.frombuffer(x, np.uint16) for x in t.column("idx").to_pylist()]
             every, at = np.unique(np.concatenate([*tok, *many]), return_inverse=True)
             rows = sum(map(len, tok))
             df = np.bincount(at[:rows], minlength=len(every)) + np.bincount(at[rows:], np.concatenate(n) if len(at) > rows else None, minlength=len(every)).astype(np.int64)
-            df = np.minimum(df, np.iinfo(np.int32).max).astype(np.int32)
+            df = _code(df)
             of_tok = np.split(df[at[:rows]], np.cumsum([len(x) for x in tok])[:-1])
             of_many = np.split(df[at[rows:]], np.cumsum([len(x) for x in many])[:-1])
             keep = [d > 1 for d in of_tok]
-            yield _packed(t.column("to").to_numpy(), t.column("block").to_numpy(), t.column("packets").to_numpy(), [_six(x[k]) for x, k in zip(tok, keep)], [x[k] for x, k in zip(idx, keep)], [_six(x[:0]) for x in many], [np.concatenate([d[k], m]) for d, k, m in zip(of_tok, keep, of_many)])
+            to = t.column("to").to_numpy() + np.int32(share * parts)
+            yield _packed(to, t.column("block").to_numpy(), t.column("packets").to_numpy(), [_six(x[k]) for x, k in zip(tok, keep)], [x[k] for x, k in zip(idx, keep)], [_six(x[:0]) for x in many], [np.concatenate([d[k], m]) for d, k, m in zip(of_tok, keep, of_many)])
 
-    return sent.repartitionById(parts, F.col("to")).sortWithinPartitions("to").mapInArrow(run, _PACKET)
+    part = F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to"))
+    return sent.repartitionById(parts, part).sortWithinPartitions("to").mapInArrow(run, _PACKET)
 
 
-def postings(sent: DataFrame, replies: DataFrame, threshold: float) -> DataFrame:
-    """tok, node, size, pos and df: the prefix of each node, of n-grams that another document has."""
+def postings(replies: DataFrame, parts: int, shares: int, threshold: float) -> DataFrame:
+    """tok, node, size and pos: the prefix of each node, of n-grams that another document has.  replies: of all shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["block"]):
             rows = {}
-            for r in t.to_pylist():  # the owner's row and one for each part
+            for r in t.to_pylist():  # of each share, the owner's row and one for each part
                 rows.setdefault(r["to"], r)
-            own = rows.pop(-1, None)
-            if own is None or len(rows) != own["packets"]:
+            own = [rows.pop(-1 - k, None) for k in range(shares)]
+            if None in own or len(rows) != sum(o["packets"] for o in own):
                 raise RuntimeError("a block of n-grams did not get all its replies: its input changed between two runs of a task")
-            node, size = np.frombuffer(own["tok"], np.int64), np.frombuffer(own["idx"], np.int32).astype(np.int64)
-            tok, idx, df, m_df = [], [], [], []
-            for _, r in sorted(rows.items()):
+            node, size = np.frombuffer(own[0]["tok"], np.int64), np.frombuffer(own[0]["idx"], np.int32).astype(np.int64)
+            tok, idx, df, m_df = [], [], [], [[] for _ in own]
+            for to, r in sorted(rows.items()):
                 x = _from_six(r["tok"])
-                d = np.frombuffer(r["n"], np.int32)
+                d = np.frombuffer(r["n"], np.uint8)
                 tok.append(x)
                 idx.append(np.frombuffer(r["idx"], np.uint16))
                 df.append(d[: len(x)])
-                m_df.append(d[len(x) :])
-            repeat = np.frombuffer(own["n"], np.int32)  # in the order of parts, as the replies
-            hot = int(repeat.sum()) * 2
-            tok = np.concatenate([*tok, np.repeat(_from_six(own["many"][hot:]), repeat)])
-            idx = np.concatenate([*idx, np.frombuffer(own["many"][:hot], np.uint16)]).astype(np.int64)
-            df = np.concatenate([*df, np.repeat(np.concatenate(m_df), repeat)])
+                m_df[to // parts].append(d[len(x) :])
+            for o, m in zip(own, m_df):
+                repeat = np.frombuffer(o["n"], np.int32)  # in the order of parts, as the replies
+                hot = int(repeat.sum()) * 2
+                tok.append(np.repeat(_from_six(o["many"][hot:]), repeat))
+                idx.append(np.frombuffer(o["many"][:hot], np.uint16))
+                df.append(np.repeat(np.concatenate([df[0][:0], *m]), repeat))
+            tok, idx, df = np.concatenate(tok), np.concatenate(idx).astype(np.int64), np.concatenate(df)
             order = np.lexsort((tok, df, idx))
             tok, idx, df = tok[order], idx[order], df[order]
             start = np.searchsorted(idx, np.arange(len(node)))
@@ -208,11 +228,10 @@ def postings(sent: DataFrame, replies: DataFrame, threshold: float) -> DataFrame
             if len(at):
                 who = idx[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_int64(tok[at])), pa.array(node[who]), pa.array(size[who].astype(np.int32)), pa.array(pos[at].astype(np.int32)), pa.array(df[at].astype(np.int64))], names=["tok", "node", "size", "pos", "df"]
+                    [pa.array(_int64(tok[at])), pa.array(node[who]), pa.array(size[who].astype(np.int32)), pa.array(pos[at].astype(np.int32))], names=["tok", "node", "size", "pos"]
                 )
 
-    rows = sent.filter("to < 0").union(replies)
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "tok bigint, node bigint, size int, pos int, df bigint")
+    return replies.repartition("block").sortWithinPartitions("block").mapInArrow(run, "tok bigint, node bigint, size int, pos int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -278,11 +297,14 @@ def list_pairs(group: np.ndarray, tok, node, size, pos, part, cross, threshold:
 def candidates(index: DataFrame, threshold: float) -> DataFrame:
     """a, b: pairs of nodes that share an n-gram of their prefixes and may reach the threshold."""
     of = Window.partitionBy("tok")
-    lists = index.withColumn("rep", F.min("node").over(of)).withColumn("last", F.max("node").over(of)).filter("rep < last")
+    lists = index.withColumn("rep", F.min("node").over(of)).withColumn("last", F.max("node").over(of)).withColumn("n", F.count(F.lit(1)).over(of)).withColumn("widest", F.max("size").over(of)).filter("rep < last")
     # a power of two, so that a node's parts are nested
-    lists = lists.withColumn("parts", F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / F.lit(LIST_ROWS))).cast("int"))).cast("int"))
-    lists = lists.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("rep", "tok", "node", "size", "pos", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    lists = lists.select("rep", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "tok", "node", "size", "pos", "part")
+    lists = lists.withColumn("parts", F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(LIST_ROWS))).cast("int"))).cast("int"))
+    # rows of a group, were all n-grams of its smallest node in lists as long as this one
+    rows = F.col("n") / F.col("parts") * F.least(F.col("parts"), F.lit(2)) * (F.floor((1 - threshold) * F.col("widest")) + 1)
+    lists = lists.withColumn("slice", F.pmod(F.xxhash64("tok"), F.ceil(rows / F.lit(_ROWS_AT_ONCE))).cast("int"))
+    lists = lists.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("rep", "slice", "tok", "node", "size", "pos", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    lists = lists.select("rep", "slice", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "tok", "node", "size", "pos", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -296,7 +318,7 @@ def candidates(index: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         rows = 0
-        for t in _groups(batches, ["rep", "p", "q"]):
+        for t in _groups(batches, ["rep", "slice", "p", "q"]):
             held.append(t)
             rows += t.num_rows
             if rows >= _ROWS_AT_ONCE:
@@ -305,7 +327,7 @@ def candidates(index: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield from flush()
 
-    return lists.repartition("rep", "p", "q").sortWithinPartitions("rep", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
+    return lists.repartition("rep", "slice", "p", "q").sortWithinPartitions("rep", "slice", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def overlaps(sets: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -398,6 +420,16 @@ def verified(docs: DataFrame, holders: DataFrame, pairs: DataFrame, n: int, thre
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(check, "a bigint, b bigint, jaccard double")
 
 
+def without_copies(docs: DataFrame, members: DataFrame, holders: DataFrame) -> DataFrame:
+    """docs without those that hold no node: their sets are those of documents with smaller ids.  All docs where these are too many to be sent."""
+    low = holders.select("node", F.col("doc_id").alias("low"))
+    copies = members.join(low, "node").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("low")).alias("holds")).filter("not holds").select(F.col("doc_id").alias("_id"))
+    copies = stored(copies, "copies")
+    if copies.limit(SENT_IDS + 1).count() > SENT_IDS:
+        return docs
+    return docs.join(F.broadcast(copies), docs["doc_id"].cast("bigint") == F.col("_id"), "left_anti")
+
+
 def node_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members: node and doc_id, of all documents; pairs: a, b, jaccard, of different nodes).  Together they hold every pair of documents."""
     if not 0 < threshold <= 1 or n < 1 or n > len(tk._MULTIPLIERS):
@@ -405,14 +437,28 @@ def node_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     docs = picked(docs, "doc_id", "text")
     spark = docs.sparkSession
     members = stored(sizes(docs, n).distinct(), "sizes")
+    holders = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    once = without_copies(docs, members, holders)
     total = members.agg(F.sum(F.col("size").cast("bigint"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // COUNTED))
-    sent = packets(docs, n, parts)
-    index = postings(sent, counted(sent.filter("to >= 0"), parts), threshold)
-    pairs = stored(candidates(index, threshold), "candidates")
-    del sent, index
+    shares = 1 if total <= COUNTED else PASSES
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (COUNTED * shares)))
+    # each step is stored, so that the shuffles of one are gone before the next begins
+    replies = []
+    for k in range(shares):
+        replies.append(stored(counted(packets(once, n, parts, k, shares), parts, k), "replies"))
+        release_shuffles(spark)
+    index = stored(postings(functools.reduce(DataFrame.union, replies), parts, shares, threshold), "index")
+    discard(*replies)
     release_shuffles(spark)
-    holders = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    found = []
+    for k in range(shares):
+        found.append(stored(candidates(index.filter(F.pmod(F.xxhash64("tok"), F.lit(shares)) == k), threshold), "candidates"))
+        release_shuffles(spark)
+    discard(index)
+    pairs = found[0]
+    if shares > 1:
+        pairs = stored(functools.reduce(DataFrame.union, found).distinct(), "candidates")
+        discard(*found)
     return members.select("node", "doc_id").distinct(), verified(docs, holders, pairs, n, threshold)
 
 

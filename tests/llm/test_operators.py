@@ -384,6 +384,52 @@ def test_long_lists_are_cut_without_loss(spark, monkeypatch):
     assert ngram_jaccard.join(docs).count() == 60 * 59 // 2
 
 
+def test_join_in_shares_of_ngrams(spark, monkeypatch, tmp_path):
+    """Counted in passes, none of which sends much more than its share; copies send nothing; groups are cut into slices; stored steps are deleted; no pair is lost."""
+    rng = random.Random(19)
+    texts = [words_of(rng, 60) for _ in range(12)]
+    near = [" ".join("new" + str(rng.randrange(999)) if rng.random() < 0.05 else w for w in t.split()) for t in texts * 3]
+    rows = list(enumerate(texts + near + texts * 4 + ["two words", "one"]))
+    monkeypatch.setattr(ngram_jaccard, "COUNTED", 500)
+    monkeypatch.setattr(ngram_jaccard, "_ROWS_AT_ONCE", 50)
+    sent, packets = [], ngram_jaccard.packets
+
+    def spy(*args):
+        out = packets(*args)
+        sent.append(sum(len(r["tok"]) // 6 + sum(np.frombuffer(r["n"], np.int32)) for r in out.filter("to >= 0").collect()))
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "packets", spy)
+    monkeypatch.setattr(ngram_jaccard, "stored", lambda df, name: kept(df, f"{tmp_path}/{name}-{next(number)}"))
+    number = iter(range(10**6))
+
+    def kept(df, path):
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_a"], r["doc_b"]) for r in ngram_jaccard.join(docs).collect()}
+    sets = {k: shingles(t) for k, t in rows}
+    assert got == {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= ngram_jaccard.THRESHOLD * len(sets[a] | sets[b])}
+    once = sum(map(len, {frozenset(s) for s in sets.values()}))
+    assert sum(sent) == once and max(sent) < 0.6 * once
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(("replies", "index"))]
+
+
+def test_join_with_more_copies_than_are_sent(spark, monkeypatch):
+    rng = random.Random(23)
+    texts = [words_of(rng, 30) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts * 4)), "doc_id bigint, text string")
+    monkeypatch.setattr(ngram_jaccard, "SENT_IDS", 3)
+    assert ngram_jaccard.join(docs).count() == 5 * 6
+
+
+def test_codes_of_counts_grow():
+    df = np.concatenate([np.arange(1, 5000), 2 ** np.arange(13, 31)])
+    code = ngram_jaccard._code(df)
+    assert (np.diff(code.astype(int)) >= 0).all() and (code[:127] == df[:127]).all() and code[0] == 1 < code[1]
+
+
 def test_join_odd(odd, none):
     got = {(r["doc_a"], r["doc_b"]) for r in ngram_jaccard.join(odd).collect()}
     assert got == {(4, 5)}
