@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from corpusflow.llm import queries
+from corpusflow.llm import ngram_jaccard, queries
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -50,3 +50,19 @@ def test_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     form = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
     assert form(got.convert_dtypes()) == form(want.convert_dtypes())
+
+
+def test_near_duplicates_are_counted_in_shares(spark, monkeypatch):
+    """Stage 2 sends one share of the n-grams at a time, and those of copies not at all."""
+    docs = spark.createDataFrame([(k, " ".join(f"t{k % 6}w{i}" for i in range(30)), "en", "s", 1) for k in range(24)], DOCS)
+    sent, packets = [], ngram_jaccard.packets
+
+    def spy(once, *args):
+        sent.append(once.count())
+        return packets(once, *args)
+
+    monkeypatch.setattr(ngram_jaccard, "packets", spy)
+    monkeypatch.setattr(ngram_jaccard, "COUNTED", 100)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(6))
+    assert sent == [6] * ngram_jaccard.PASSES
