@@ -26,7 +26,8 @@ the number of its links), ``join`` the pairs themselves.
    Lists that near copies share go to one task (that of their smallest node), which
    reports a pair once however many n-grams it shares; where these are more than about
    ``_ROWS_AT_ONCE`` rows they go to several tasks, by n-gram, and a pair's repeats are
-   removed afterwards.  Lists of over ``LIST_ROWS``
+   removed afterwards.  Where classes alone are asked for (``duplicates``), pairs that are connected anyway
+   are not made (``node_classes``).  Lists of over ``LIST_ROWS``
    are cut into parts and each pair of parts is a task of its own: nothing is capped.
 5. Answer-level skipping.  Candidates are verified in groups, the sets of a group
    shipped once.  The group's leader L is intersected with each set x once; what
@@ -59,7 +60,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import textkernel as tk
-from corpusflow.llm._common import SENT_IDS, discard, picked, release_shuffles, stored
+from corpusflow.llm._common import SENT_IDS, by_ids, discard, picked, release_shuffles, stored
 
 N, THRESHOLD = 3, 0.5
 #: n-grams that this many documents of a block have are sent once for the block
@@ -258,10 +259,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def list_pairs(group: np.ndarray, tok, node, size, pos, part, cross, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct candidate pairs of the lists (group, tok): of sizes, and with rests after their positions, that allow the threshold.  cross: only pairs of different parts."""
+def list_pairs(group: np.ndarray, tok, node, size, pos, part, cross, root, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct candidate pairs of the lists (group, tok): of different roots, of sizes, and with rests after their positions, that allow the threshold.  cross: only pairs of different parts."""
     order = np.lexsort((size, tok, group))
-    group, tok, node, size, pos, part, cross = (x[order] for x in (group, tok, node, size, pos, part, cross))
+    group, tok, node, size, pos, part, cross, root = (x[order] for x in (group, tok, node, size, pos, part, cross, root))
     m = len(order)
     which = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (tok[1:] != tok[:-1])]))
     wide = np.int64(int(size.max()) * 2 + 2)
@@ -287,32 +288,71 @@ def list_pairs(group: np.ndarray, tok, node, size, pos, part, cross, threshold:
         k = n[x:y]
         a = np.repeat(who[x:y], k)
         b = np.repeat(start[x:y] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        ok = (np.minimum(rest[a], rest[b]) >= np.ceil(share * (size[a] + size[b]) - 1e-9)) & (node[a] != node[b]) & (~cross[a] | (part[a] != part[b]))
+        ok = (np.minimum(rest[a], rest[b]) >= np.ceil(share * (size[a] + size[b]) - 1e-9)) & (root[a] != root[b]) & (~cross[a] | (part[a] != part[b]))
         u, v = code[a[ok]], code[b[ok]]
         found.append(np.unique(np.minimum(u, v) * len(names) + np.maximum(u, v)))
     found = np.unique(np.concatenate(found))
     return names[found // len(names)], names[found % len(names)]
 
 
+def _with_one(lists: DataFrame, threshold: float) -> DataFrame:
+    """a, b: of the candidates, those of each row and low, another row of its list that is not larger."""
+    rest = F.least(F.col("size") - F.col("pos"), F.col("low.size") - F.col("low.pos"))
+    may = (F.col("low.size") >= F.ceil(F.lit(threshold) * F.col("size") - 1e-9)) & (rest >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("low.size")) - 1e-9))
+    return lists.filter((F.col("node") != F.col("low.node")) & may).select(F.least("node", "low.node").alias("a"), F.greatest("node", "low.node").alias("b")).distinct()
+
+
+def starred(index: DataFrame, threshold: float) -> DataFrame:
+    """a, b: of the candidates, those of each list's smallest set (of ties the smallest node)."""
+    return _with_one(index.withColumn("low", F.min(F.struct("size", "node", "pos")).over(Window.partitionBy("tok"))), threshold)
+
+
+def chained(lists: DataFrame, threshold: float) -> DataFrame:
+    """a, b: of the candidates of different roots, those of neighbours in a list by size."""
+    before = F.lag(F.struct("size", "node", "pos", "root")).over(Window.partitionBy("tok").orderBy("size", "node"))
+    return _with_one(lists.withColumn("low", before).filter(F.col("low.root") != F.col("root")), threshold)
+
+
+def rooted(index: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """index with each node's root, and many: whether that is the root of most rows of the list (of ties the largest).
+
+    Without what no candidate of different roots comes from: rows whose rest is too short for every set of the list, then lists of one root.
+    """
+    of = Window.partitionBy("tok")
+    lists = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = F.greatest(F.min("size").over(of), F.ceil(F.lit(threshold) * F.col("size") - 1e-9))
+    lists = lists.withColumn("least", least).filter(F.col("size") - F.col("pos") >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("least")) - 1e-9))
+    lists = lists.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tok", "root")))
+    lists = lists.withColumn("most", F.max(F.struct("n", "root")).over(of)).withColumn("two", F.min("root").over(of) < F.max("root").over(of))
+    return lists.filter("two").select("tok", "node", "size", "pos", "root", (F.col("root") == F.col("most.root")).alias("many"))
+
+
 def candidates(index: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of nodes that share an n-gram of their prefixes and may reach the threshold."""
+    """a, b: pairs of nodes that share an n-gram of their prefixes and may reach the threshold.  Of an index that has roots (``rooted``), pairs of different roots only."""
     of = Window.partitionBy("tok")
+    if "root" not in index.columns:
+        index = index.withColumns({"root": F.col("node"), "many": F.lit(False)})
     lists = index.withColumn("rep", F.min("node").over(of)).withColumn("last", F.max("node").over(of)).withColumn("n", F.count(F.lit(1)).over(of)).withColumn("widest", F.max("size").over(of)).filter("rep < last")
     # a power of two, so that a node's parts are nested
-    lists = lists.withColumn("parts", F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(LIST_ROWS))).cast("int"))).cast("int"))
+    halves = lambda n: F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(n / F.lit(LIST_ROWS))).cast("int"))).cast("int")
+    # the rows of the root of most get parts of their own, after those of the others, and meet the others only
+    few = F.col("n") - F.sum(F.col("many").cast("int")).over(of)
+    lists = lists.withColumn("first", F.when(few == 0, 0).otherwise(halves(few))).withColumn("parts", F.when(few == F.col("n"), F.col("first")).otherwise(F.col("first") + halves(F.col("n") - few)))
     # rows of a group, were all n-grams of its smallest node in lists as long as this one
     rows = F.col("n") / F.col("parts") * F.least(F.col("parts"), F.lit(2)) * (F.floor((1 - threshold) * F.col("widest")) + 1)
     lists = lists.withColumn("slice", F.pmod(F.xxhash64("tok"), F.ceil(rows / F.lit(_ROWS_AT_ONCE))).cast("int"))
-    lists = lists.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("rep", "slice", "tok", "node", "size", "pos", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    lists = lists.select("rep", "slice", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "tok", "node", "size", "pos", "part")
+    part = F.when(F.col("many"), F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts") - F.col("first"))).otherwise(F.pmod(F.xxhash64("node"), F.col("first"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("many"), F.col("first")).otherwise(F.col("parts")) - 1)
+    lists = lists.withColumn("part", part).select("rep", "slice", "tok", "node", "size", "pos", "root", "part", F.explode(others).alias("other"))
+    lists = lists.select("rep", "slice", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "tok", "node", "size", "pos", "root", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            col = {k: np.concatenate([t.column(k).to_numpy() for t in held]) for k in ("tok", "node", "size", "pos", "part", "p", "q")}
+            col = {k: np.concatenate([t.column(k).to_numpy() for t in held]) for k in ("tok", "node", "size", "pos", "root", "part", "p", "q")}
             group = np.repeat(np.arange(len(held)), [t.num_rows for t in held])
-            a, b = list_pairs(group, col["tok"], col["node"], col["size"].astype(np.int64), col["pos"].astype(np.int64), col["part"], col["p"] != col["q"], threshold)
+            a, b = list_pairs(group, col["tok"], col["node"], col["size"].astype(np.int64), col["pos"].astype(np.int64), col["part"], col["p"] != col["q"], col["root"], threshold)
             held.clear()
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -388,6 +428,8 @@ def verified(docs: DataFrame, holders: DataFrame, pairs: DataFrame, n: int, thre
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).filter("doc_id is not null and text is not null")
     wanted = stored(wanted, "wanted")
     few = wanted.limit(SENT_NODES + 1).count() <= SENT_NODES
+    if not few:  # of these documents only, the texts move
+        source = by_ids(source, wanted.select(F.col("_id").alias("doc_id")), "left_semi")
     text = source.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), source["doc_id"] == F.col("_id")).select("_node", "gs", "text")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,8 +472,8 @@ def without_copies(docs: DataFrame, members: DataFrame, holders: DataFrame) -> D
     return docs.join(F.broadcast(copies), docs["doc_id"].cast("bigint") == F.col("_id"), "left_anti")
 
 
-def node_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members: node and doc_id, of all documents; pairs: a, b, jaccard, of different nodes).  Together they hold every pair of documents."""
+def prefix_index(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(members: node, size and doc_id, of all documents; holders: node and one of its documents; index: postings; shares that it is worked on in), stored."""
     if not 0 < threshold <= 1 or n < 1 or n > len(tk._MULTIPLIERS):
         raise ValueError("threshold must be in (0, 1], n from 1 to 64")
     docs = picked(docs, "doc_id", "text")
@@ -450,18 +492,60 @@ def node_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     index = stored(postings(functools.reduce(DataFrame.union, replies), parts, shares, threshold), "index")
     discard(*replies)
     release_shuffles(spark)
+    return members, holders, index, shares
+
+
+def all_candidates(index: DataFrame, shares: int, threshold: float) -> DataFrame:
+    """candidates of the index, share by share, stored; the index goes."""
     found = []
     for k in range(shares):
         found.append(stored(candidates(index.filter(F.pmod(F.xxhash64("tok"), F.lit(shares)) == k), threshold), "candidates"))
-        release_shuffles(spark)
+        release_shuffles(index.sparkSession)
     discard(index)
     pairs = found[0]
     if shares > 1:
         pairs = stored(functools.reduce(DataFrame.union, found).distinct(), "candidates")
         discard(*found)
+    return pairs
+
+
+def node_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(members: node and doc_id, of all documents; pairs: a, b, jaccard, of different nodes).  Together they hold every pair of documents."""
+    docs = picked(docs, "doc_id", "text")
+    members, holders, index, shares = prefix_index(docs, n, threshold)
+    pairs = all_candidates(index, shares, threshold)
     return members.select("node", "doc_id").distinct(), verified(docs, holders, pairs, n, threshold)
 
 
+def node_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(members, as of node_join; node and root, of the components of its pairs).  Exact, but a group of k similar sets costs k pairs, not k * k / 2.
+
+    First each list's smallest set is held against the others, then neighbours of what is not connected yet.  Of the
+    other candidates, only those whose nodes are still not connected are made and verified: the rest can connect nothing.
+    """
+    docs = picked(docs, "doc_id", "text")
+    spark = docs.sparkSession
+    members, holders, index, shares = prefix_index(docs, n, threshold)
+
+    def grown(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """roots, with what the candidates that hold connect."""
+        edges = stored(verified(docs, holders, pairs, n, threshold).select("a", "b"), "near")
+        discard(pairs)
+        release_shuffles(spark)
+        return stored(components(edges if roots is None else edges.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+
+    roots = None
+    for some in (starred, chained):
+        pairs = stored(some(index, threshold), some.__name__)
+        release_shuffles(spark)
+        roots = grown(pairs, roots)
+        left = stored(rooted(index.select("tok", "node", "size", "pos"), roots, threshold), "rooted")
+        discard(index)
+        release_shuffles(spark)
+        index = left
+    return members.select("node", "doc_id").distinct(), grown(all_candidates(index, shares, threshold), roots)
+
+
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its connected component of the join) and links (how many other documents are similar to it, equal ones included)."""
     members, pairs = node_join(docs, n, threshold)
@@ -510,9 +594,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and kept: each document of a group of similar ones (a connected component of the join) except the one with the smallest doc_id, which is kept."""
-    members, pairs = node_join(docs, n, threshold)
+    members, roots = node_classes(docs, n, threshold)
     members = members.filter("node is not null")
-    roots = components(pairs.select("a", "b"))
     grouped = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return grouped.join(kept, "root").filter("doc_id <> kept").select("doc_id", "kept").distinct()

@@ -416,6 +416,33 @@ def test_join_in_shares_of_ngrams(spark, monkeypatch, tmp_path):
     assert not [p for p in tmp_path.iterdir() if p.name.startswith(("replies", "index"))]
 
 
+@pytest.mark.parametrize(("threshold", "sent"), [(0.4, 3), (0.5, ngram_jaccard.SENT_NODES)])
+def test_duplicates_against_brute_force(spark, monkeypatch, threshold, sent):
+    """Groups about the threshold that hang together by single links, lists of many roots cut into parts, and texts sent or shuffled."""
+    rng = random.Random(29)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(rng.choice([6, 20, 40]))]
+        for _ in range(25):
+            cut = rng.randrange(len(base) // 2)
+            texts.append(" ".join(base[cut : cut + rng.randrange(3, len(base))] + [f"own{rng.randrange(10**6)}" for _ in range(rng.randrange(8))]))
+    rows = list(enumerate(texts + texts[:9]))
+    monkeypatch.setattr(ngram_jaccard, "LIST_ROWS", 4)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 3)
+    monkeypatch.setattr(ngram_jaccard, "_ROWS_AT_ONCE", 50)
+    monkeypatch.setattr(ngram_jaccard, "SENT_NODES", sent)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sets = {k: shingles(t) for k, t in rows}
+    root = {k: k for k in sets}
+    pairs = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 12 < len(set(root.values())) < len(root)
+    got = {(r["doc_id"], r["kept"]) for r in ngram_jaccard.duplicates(docs, threshold=threshold).collect()}
+    assert got == {(k, r) for k, r in root.items() if k != r}
+
+
 def test_join_with_more_copies_than_are_sent(spark, monkeypatch):
     rng = random.Random(23)
     texts = [words_of(rng, 30) for _ in range(5)]

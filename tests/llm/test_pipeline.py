@@ -66,3 +66,18 @@ def test_near_duplicates_are_counted_in_shares(spark, monkeypatch):
     left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(6))
     assert sent == [6] * ngram_jaccard.PASSES
+
+
+def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
+    """Stage 2 holds the near copies of a text against few others each, not each against all."""
+    docs = spark.createDataFrame([(k, " ".join(f"t{k}" if i == k % 60 else f"w{i}" for i in range(60 + k % 7)), "en", "s", 1) for k in range(120)], DOCS)
+    made, verified = [], ngram_jaccard.verified
+
+    def spy(docs, holders, pairs, *args):
+        made.append(pairs.count())
+        return verified(docs, holders, pairs, *args)
+
+    monkeypatch.setattr(ngram_jaccard, "verified", spy)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert [r["doc_id"] for r in left.collect()] == [0]
+    assert 119 <= sum(made) < 120 * 12
