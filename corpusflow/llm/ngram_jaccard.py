@@ -259,6 +259,50 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """(columns, number of the group) of whole groups of rows sorted by key: of as many groups as have so many rows together.  No table is made for each group: most have few rows."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def whole() -> tuple[dict[str, np.ndarray], np.ndarray]:
+        t = pa.Table.from_batches(held)
+        col = {k: t.column(k).to_numpy() for k in t.column_names}
+        begins = np.zeros(t.num_rows, dtype=bool)
+        for k in keys:
+            begins[1:] |= col[k][1:] != col[k][:-1]
+        held.clear()
+        return col, np.cumsum(begins)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        begins = np.zeros(b.num_rows, dtype=bool)
+        for k in keys:
+            v = b.column(k).to_numpy(zero_copy_only=False)
+            begins[1:] |= v[1:] != v[:-1]
+            begins[0] |= bool(held) and held[-1].column(k)[-1].as_py() != v[0]
+        starts, done = np.flatnonzero(begins), 0
+        while (at := np.searchsorted(starts, done + rows - n)) < len(starts):
+            if starts[at] > done:
+                held.append(b.slice(done, starts[at] - done))
+            yield whole()
+            done, n = int(starts[at]), 0
+        held.append(b.slice(done))
+        n += b.num_rows - done
+    if held:
+        yield whole()
+
+
+def _spans(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of n, each of about so much in all."""
+    cuts = np.searchsorted(np.cumsum(n), np.arange(most, n.sum() + most, most), side="right") if len(n) else []
+    x = 0
+    for y in [*cuts, len(n)]:
+        if x < y:
+            yield x, max(x + 1, int(y))
+            x = max(x + 1, int(y))
+
+
 def list_pairs(group: np.ndarray, tok, node, size, pos, part, cross, root, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Distinct candidate pairs of the lists (group, tok): of different roots, of sizes, and with rests after their positions, that allow the threshold.  cross: only pairs of different parts."""
     order = np.lexsort((size, tok, group))
@@ -275,23 +319,27 @@ def list_pairs(group: np.ndarray, tok, node, size, pos, part, cross, root, thres
     best = np.maximum.reduceat(rest, np.arange(0, m, BLOCK))
     # pieces of each range that lie in one block of places; those without a rest that is long enough are skipped
     low, high = (at + 1) // BLOCK, (end[at] - 1) // BLOCK
-    n = high - low + 1
-    who = np.repeat(at, n)
-    block = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    ok = best[block] >= least[who]
-    who, block = who[ok], block[ok]
-    start = np.maximum(who + 1, block * BLOCK)
-    n = np.minimum(end[who], (block + 1) * BLOCK) - start
-    found = [np.zeros(0, dtype=np.int64)]
-    cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + _PAIRS_AT_ONCE, _PAIRS_AT_ONCE), side="right") if len(n) else []
-    for x, y in zip(cuts, [*cuts[1:], len(n)]):
-        k = n[x:y]
-        a = np.repeat(who[x:y], k)
-        b = np.repeat(start[x:y] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        ok = (np.minimum(rest[a], rest[b]) >= np.ceil(share * (size[a] + size[b]) - 1e-9)) & (root[a] != root[b]) & (~cross[a] | (part[a] != part[b]))
-        u, v = code[a[ok]], code[b[ok]]
-        found.append(np.unique(np.minimum(u, v) * len(names) + np.maximum(u, v)))
-    found = np.unique(np.concatenate(found))
+    pieces = high - low + 1
+    found, fresh, held = np.zeros(0, dtype=np.int64), [], 0
+    for i, j in _spans(pieces, _PAIRS_AT_ONCE):
+        n = pieces[i:j]
+        who = np.repeat(at[i:j], n)
+        block = np.repeat(low[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ok = best[block] >= least[who]
+        who, block = who[ok], block[ok]
+        start = np.maximum(who + 1, block * BLOCK)
+        n = np.minimum(end[who], (block + 1) * BLOCK) - start
+        for x, y in _spans(n, _PAIRS_AT_ONCE):
+            k = n[x:y]
+            a = np.repeat(who[x:y], k)
+            b = np.repeat(start[x:y] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            ok = (np.minimum(rest[a], rest[b]) >= np.ceil(share * (size[a] + size[b]) - 1e-9)) & (root[a] != root[b]) & (~cross[a] | (part[a] != part[b]))
+            u, v = code[a[ok]], code[b[ok]]
+            fresh.append(np.unique(np.minimum(u, v) * len(names) + np.maximum(u, v)))
+            held += len(fresh[-1])
+            if held > max(2 * _PAIRS_AT_ONCE, len(found)):  # lists of near copies repeat their pairs
+                found, fresh, held = np.unique(np.concatenate([found, *fresh])), [], 0
+    found = np.unique(np.concatenate([found, *fresh]))
     return names[found // len(names)], names[found % len(names)]
 
 
@@ -347,26 +395,11 @@ def candidates(index: DataFrame, threshold: float) -> DataFrame:
     lists = lists.select("rep", "slice", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "tok", "node", "size", "pos", "root", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            col = {k: np.concatenate([t.column(k).to_numpy() for t in held]) for k in ("tok", "node", "size", "pos", "root", "part", "p", "q")}
-            group = np.repeat(np.arange(len(held)), [t.num_rows for t in held])
+        for col, group in _chunks(batches, ["rep", "slice", "p", "q"], _ROWS_AT_ONCE):
             a, b = list_pairs(group, col["tok"], col["node"], col["size"].astype(np.int64), col["pos"].astype(np.int64), col["part"], col["p"] != col["q"], col["root"], threshold)
-            held.clear()
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        rows = 0
-        for t in _groups(batches, ["rep", "slice", "p", "q"]):
-            held.append(t)
-            rows += t.num_rows
-            if rows >= _ROWS_AT_ONCE:
-                yield from flush()
-                rows = 0
-        if held:
-            yield from flush()
-
     return lists.repartition("rep", "slice", "p", "q").sortWithinPartitions("rep", "slice", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
 
 

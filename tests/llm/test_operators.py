@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empty and repeated rows, ties, empty tables and extra columns."""
 
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -384,6 +385,32 @@ def test_long_lists_are_cut_without_loss(spark, monkeypatch):
     assert ngram_jaccard.join(docs).count() == 60 * 59 // 2
 
 
+def test_lists_of_near_copies_take_little_memory(monkeypatch):
+    """Memory goes with the distinct pairs, not with how many lists repeat them; rows come in whole groups, as many together as are asked for."""
+    rng = np.random.default_rng(31)
+    lists, k = 60, 300
+    tok, node = np.repeat(np.arange(lists), k), np.concatenate([rng.permutation(k) for _ in range(lists)]).astype(np.int64)
+    none, off = np.zeros(lists * k, dtype=np.int64), np.zeros(lists * k, dtype=bool)
+    monkeypatch.setattr(ngram_jaccard, "_PAIRS_AT_ONCE", 20_000)
+    tracemalloc.start()
+    a, b = ngram_jaccard.list_pairs(none, tok, node, none + 100, none, none, off, node, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(zip(a.tolist(), b.tolist())) == list(combinations(range(k), 2))
+    assert peak < 12e6  # the pairs of all lists are 2.7 million, of 8 bytes
+
+    keys = np.sort(rng.integers(0, 400, 3000))
+    table = pa.table({"g": keys // 20, "h": keys % 20, "v": np.arange(3000)})
+    for rows, size in ((1, 7), (50, 7), (50, 500), (10**6, 500)):
+        got = list(ngram_jaccard._chunks(iter(table.to_batches(size)), ["g", "h"], rows))
+        assert np.concatenate([c["v"] for c, _ in got]).tolist() == list(range(3000))
+        for c, group in got:
+            assert (np.diff(group) == (np.diff(c["g"] * 20 + c["h"]) > 0)).all()
+            assert len(c["v"]) < rows + 60
+        assert all(x["g"][-1] * 20 + x["h"][-1] < y["g"][0] * 20 + y["h"][0] and len(x["v"]) >= rows for (x, _), (y, _) in zip(got, got[1:]))
+    assert not list(ngram_jaccard._chunks(iter([]), ["g", "h"], 5))
+
+
 def test_join_in_shares_of_ngrams(spark, monkeypatch, tmp_path):
     """Counted in passes, none of which sends much more than its share; copies send nothing; groups are cut into slices; stored steps are deleted; no pair is lost."""
     rng = random.Random(19)
