@@ -24,6 +24,7 @@ from corpusflow.functions.text import json_quoted_native, merged
 from corpusflow.plans.stage import Change, GlobalStage, Stage, State
 from corpusflow.plans.stats import COUNTERS, TIME, Statistics
 from corpusflow.schema import EXTRAS, as_documents, empty_map
+from corpusflow.sources.storage import written
 
 _SCALE = 1 << 53
 #: names of our own that no column of a user has
@@ -88,6 +89,8 @@ class Pipeline(Stage):
         cols = set(df.columns)
         go = self._guard(df, k, stage)
         if isinstance(stage, GlobalStage):
+            if k and "doc_id" in cols:
+                df = _held(df)
             df, change = self._global(df, stage, go)
         df = df.withColumn(f"{_OWN}go", go)
         go = F.col(f"{_OWN}go")
@@ -202,6 +205,18 @@ class Pipeline(Stage):
             s.shutdown()
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """df stored: a stage that looks at all documents reads them several times, and what earlier stages do is done once.
+
+    An original that the text still is isn't stored again.  Types that files can't have: df as it is.
+    """
+    if any(x in kind for _, kind in df.dtypes for x in ("void", "interval")):
+        return df
+    same, original = f"{_OWN}same", F.col("original")
+    out = written(df.withColumns({same: original.eqNullSafe(F.col("text")), "original": F.when(~original.eqNullSafe(F.col("text")), original)}), "documents")
+    return out.withColumn("original", F.when(F.col(same), F.col("text")).otherwise(original)).drop(same)
+
+
 def _settled(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """df with new columns, and without those of our own.
 
