@@ -287,11 +287,12 @@ def dedup_analyze(spark: SparkSession, sf_dir: str, lsh: Callable[[], ops.Stage]
 
 def _two_runs(spark: SparkSession, sf_dir: str, make: Callable[[str], ops.Stage], lsh: Callable[[], ops.Stage] = _lsh) -> DataFrame:
     """All documents against an empty state, then all again: the second run rejects every one."""
-    from corpusflow.sources.storage import shared_dir
+    from corpusflow.sources.storage import shared_dir, written
     import uuid
 
     path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
-    runs = [ops.Pipeline([lsh(), make(path)]).transform(documents(spark, sf_dir)).select("doc_id", F.lit(k).alias("run"), "is_rejected") for k in (1, 2)]
+    keyed = written(ops.Pipeline([lsh()]).transform(documents(spark, sf_dir)).select("doc_id", "text", "extras"), "keyed")  # the keys of both runs
+    runs = [ops.Pipeline([make(path)]).transform(keyed).select("doc_id", F.lit(k).alias("run"), "is_rejected") for k in (1, 2)]
     return runs[0].union(runs[1])
 
 
