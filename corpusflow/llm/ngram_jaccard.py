@@ -30,7 +30,7 @@ the number of its links), ``join`` the pairs themselves.
    are not made (``node_classes``).  Lists of over ``LIST_ROWS``
    are cut into parts and each pair of parts is a task of its own: nothing is capped.
 5. Answer-level skipping.  Candidates are verified in groups, the sets of a group
-   shipped once.  The group's leader L is intersected with each set x once; what
+   shipped once; a group of over ``GROUP_PAIRS`` is cut, and a set goes to each piece that has a pair of it.  The group's leader L is intersected with each set x once; what
    x and L don't share is x's difference.  The overlap of two sets x, y then follows
    from the leader's answers and the differences alone:
    |x & y| = |L| - |L-x| - |L-y| + |(L-x) & (L-y)| + |(x-L) & (y-L)|.
@@ -71,6 +71,10 @@ LIST_ROWS, BLOCK = 1024, 64
 #: so many nodes that have candidates (some 60 bytes each) are sent to the texts; beyond, they meet in a shuffle
 SENT_NODES = SENT_IDS // 5
 _ROWS_AT_ONCE, _PAIRS_AT_ONCE = 200_000, 500_000
+#: distinct pairs that a task collects before it hands them on; repeats are removed afterwards
+_PAIRS_HELD = 2_000_000
+#: candidates of a group that are verified in one task, about
+GROUP_PAIRS = 250_000
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -303,8 +307,17 @@ def _spans(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
             x = max(x + 1, int(y))
 
 
-def list_pairs(group: np.ndarray, tok, node, size, pos, part, cross, root, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct candidate pairs of the lists (group, tok): of different roots, of sizes, and with rests after their positions, that allow the threshold.  cross: only pairs of different parts."""
+def list_pairs(*lists) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of pair_parts, all at once."""
+    pairs = np.unique(np.concatenate([np.column_stack(x) for x in pair_parts(*lists)]), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def pair_parts(group: np.ndarray, tok, node, size, pos, part, cross, root, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of the lists (group, tok): of different roots, of sizes, and with rests after their positions, that allow the threshold.  cross: only pairs of different parts.
+
+    They come as they are made, distinct ones of about _PAIRS_HELD and more at a time.
+    """
     order = np.lexsort((size, tok, group))
     group, tok, node, size, pos, part, cross, root = (x[order] for x in (group, tok, node, size, pos, part, cross, root))
     m = len(order)
@@ -339,8 +352,11 @@ def list_pairs(group: np.ndarray, tok, node, size, pos, part, cross, root, thres
             held += len(fresh[-1])
             if held > max(2 * _PAIRS_AT_ONCE, len(found)):  # lists of near copies repeat their pairs
                 found, fresh, held = np.unique(np.concatenate([found, *fresh])), [], 0
+                if len(found) > _PAIRS_HELD:
+                    yield names[found // len(names)], names[found % len(names)]
+                    found = found[:0]
     found = np.unique(np.concatenate([found, *fresh]))
-    return names[found // len(names)], names[found % len(names)]
+    yield names[found // len(names)], names[found % len(names)]
 
 
 def _with_one(lists: DataFrame, threshold: float) -> DataFrame:
@@ -396,8 +412,7 @@ def candidates(index: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for col, group in _chunks(batches, ["rep", "slice", "p", "q"], _ROWS_AT_ONCE):
-            a, b = list_pairs(group, col["tok"], col["node"], col["size"].astype(np.int64), col["pos"].astype(np.int64), col["part"], col["p"] != col["q"], col["root"], threshold)
-            if len(a):
+            for a, b in pair_parts(group, col["tok"], col["node"], col["size"].astype(np.int64), col["pos"].astype(np.int64), col["part"], col["p"] != col["q"], col["root"], threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return lists.repartition("rep", "slice", "p", "q").sortWithinPartitions("rep", "slice", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
@@ -450,13 +465,25 @@ def _common_counts(parts: list[np.ndarray], x: np.ndarray, y: np.ndarray, width:
     return out
 
 
+def cut_groups(led: DataFrame) -> DataFrame:
+    """led (g, a, b) with groups of over GROUP_PAIRS pairs cut: a group's nodes are dealt into parts, and each pair of parts is a group of its own.
+
+    A new g is a hash.  Should two be equal, their groups are verified together, which gives the same pairs.
+    """
+    parts = F.ceil(F.sqrt(F.lit(2.0) * F.col("n") / GROUP_PAIRS)).cast("int")
+    large = led.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_PAIRS).select(F.col("g").alias("_g"), parts.alias("_parts"))
+    p, q = (F.pmod(F.xxhash64(c), F.col("_parts")) for c in ("a", "b"))
+    # few are large: one for GROUP_PAIRS pairs at most
+    return led.join(F.broadcast(large), F.col("g") == F.col("_g"), "left").select(F.when(F.col("_g").isNull(), F.col("g")).otherwise(F.xxhash64("g", F.least(p, q), F.greatest(p, q))).alias("g"), "a", "b")
+
+
 def verified(docs: DataFrame, holders: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
     """a, b, jaccard of the candidate pairs of nodes that reach the threshold.  holders: node and doc_id of a document that has it."""
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("o")).union(pairs.select("b", "a"))
     lead = both.groupBy("node").agg(F.least(F.min("o"), F.col("node")).alias("lead"))
     led = pairs.join(lead.select(F.col("node").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("node").alias("b"), F.col("lead").alias("lb")), "b")
-    led = stored(led.select(F.least("la", "lb").alias("g"), "a", "b"), "led")
-    member = led.select("g", F.col("a").alias("node")).union(led.select("g", "b")).groupBy("node").agg(F.collect_set("g").alias("gs"))
+    led = cut_groups(stored(led.select(F.least("la", "lb").alias("g"), "a", "b"), "led"))
+    member = led.select("g", F.col("a").alias("node")).union(led.select("g", "b")).distinct().groupBy("node").agg(F.collect_list("g").alias("gs"))
     wanted = member.join(holders, "node").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "gs")
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).filter("doc_id is not null and text is not null")
     wanted = stored(wanted, "wanted")
@@ -481,13 +508,14 @@ def verified(docs: DataFrame, holders: DataFrame, pairs: DataFrame, n: int, thre
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["g"]):
-            grams, a, b = t.column("grams").to_pylist(), t.column("a").to_numpy(), t.column("b").to_pylist()
-            sets = {int(a[k]): np.frombuffer(s, dtype=np.uint64) for k, s in enumerate(grams) if s is not None}
-            at = [k for k, v in enumerate(b) if v is not None]
-            x, y = a[at], np.array([b[k] for k in at], dtype=np.int64)
+            held = t.filter(t.column("grams").is_valid())
+            sets = {k: np.frombuffer(s.as_buffer(), dtype=np.uint64) for k, s in zip(held.column("a").to_pylist(), held.column("grams"))}
+            t = t.filter(t.column("b").is_valid())
+            x, y = t.column("a").to_numpy(), t.column("b").to_numpy()
             shared = overlaps(sets, x, y)
-            union = np.array([len(sets[int(u)]) + len(sets[int(v)]) for u, v in zip(x, y)]) - shared
-            score = shared / union
+            names = np.array(sorted(sets), dtype=np.int64)
+            size = np.array([len(sets[k]) for k in names.tolist()])
+            score = shared / (size[np.searchsorted(names, x)] + size[np.searchsorted(names, y)] - shared)
             good = score >= threshold
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[good]), pa.array(y[good]), pa.array(score[good])], names=["a", "b", "jaccard"])
